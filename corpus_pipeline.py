@@ -1,10 +1,77 @@
-"""Corpus preparation over `documents`, in stages; each is written and read again before the next."""
+"""Corpus preparation over `documents`, in stages; each is written as Parquet and read again before the next.
+
+Stages take (spark, docs, sf_dir) and return the columns of docs, the last one the encoded corpus:
+
+1. language ID: texts without a letter and texts the model is unsure of go;
+2. line dedup: lines that too many pages of a source hold go from the texts;
+3. SimHash near-dedup: one document of each group stays;
+4. mixing: documents are drawn so that source, language and topic meet their target weights;
+5. byte BPE: the texts' token ids, and the digest of what they decode to.
+
+No stage has an SQL form as a whole (the first trains a model), so ORACLE_SQL is None and
+tests/llm hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import bpe, language, line_dedup, mixing, simhash
+from ledgerloom.llm.common import checkpoint_folder
+
+#: Least score of a language prediction that is believed.
+LEAST_SCORE = 0.5
+
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language the model is sure of. Trained on labelled documents that are not held out."""
+    found = language.predict(docs, language.learn(docs), docs.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines; n_chars follows the text."""
+    found = line_dedup.drop_boilerplate(docs, "source")
+    n = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", n).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with their calibrated probability."""
+    return mixing.mix(docs).where("__kept").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids (packed little-endian uint32) and decoded_sha256."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.encode(docs, path, public_tokenizers.PATTERN, ["doc_id", "lang", "source"], decoded=True)
+    return found.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_cleaning),
+    ("near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

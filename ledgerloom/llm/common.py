@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor costs only a reread.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for materialised steps: what the session names in spark.checkpoint.dir.
 
-    The folder is what the session names in spark.checkpoint.dir. Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    Only where that is unset (tests on one machine) a temporary folder is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that a lost executor costs only a reread."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
