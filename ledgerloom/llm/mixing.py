@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, small
 
 #: Raking rounds between two checks of the marginals, the largest accepted error of a share, and most checks.
-ROUNDS, TOLERANCE, CHECKS = 6, 1e-9, 12
+ROUNDS, TOLERANCE, CHECKS = 4, 1e-6, 12
 #: Share of the tokens to keep, and the salt of the draw.
 BUDGET, SALT = 0.7, "mix-1"
 #: Targets are the natural marginals to this power: below 1 small sources and languages gain.
@@ -73,21 +73,21 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         table = table.join(one, F.col(dim).eqNullSafe(F.col(f"__v_{dim}")), "left").drop(f"__v_{dim}")
     lives = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"__goal_{d}"), F.lit(0.0)) > 0 for d in targets)) & (F.col("__t") > 0)
     table = cut(table.withColumn("weight", F.when(lives, F.col("__t")).otherwise(0.0)))
-    whole = {}
-    for dim in targets:
-        live = table.where("weight > 0").groupBy(dim).agg(F.max(f"__goal_{dim}").alias("g"))
-        whole[dim] = live.agg(F.sum("g")).first()[0] or 1.0
+
+    def marginals() -> DataFrame:
+        """(dim, w, g): present and wanted weight of each value that has any."""
+        live = table.where("weight > 0")
+        return reduce(DataFrame.union, (live.groupBy(d).agg(F.sum("weight").alias("w"), F.max(f"__goal_{d}").alias("g")).select(F.lit(d).alias("dim"), "w", "g") for d in targets))
+
+    whole = {r[0]: r[1] for r in marginals().groupBy("dim").agg(F.sum("g")).collect()}
     for _ in range(checks):
         for _ in range(rounds):
             for dim in targets:
                 of = F.sum("weight").over(Window.partitionBy(dim))
-                table = table.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"__goal_{dim}") / F.lit(whole[dim]) / of).otherwise(0.0))
+                table = table.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"__goal_{dim}") / F.lit(whole.get(dim, 1.0)) / of).otherwise(0.0))
         table = cut(table)
-        off = []
-        for dim in targets:
-            got = table.where("weight > 0").groupBy(dim).agg(F.sum("weight").alias("w"), F.max(f"__goal_{dim}").alias("g"))
-            off.append(got.agg(F.max(F.abs(F.col("w") - F.col("g") / F.lit(whole[dim])))).first()[0] or 0.0)
-        if max(off) <= tolerance:
+        goal = F.col("g") / F.element_at(F.create_map(*(F.lit(x) for kv in whole.items() for x in kv)), F.col("dim")) if whole else F.col("g")
+        if (marginals().agg(F.max(F.abs(F.col("w") - goal))).first()[0] or 0.0) <= tolerance:
             break
     sums = table.agg(F.sum("weight"), F.sum("__t")).first()
     return table.select(
