@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the base-100 amount token: marker of a zero, exponent marker of cents, the largest one, sign bit.
-ZERO_MARKER, CENTS_MARKER, MOST_MARKER, POSITIVE = 0x80, 0x40, 0x44, 0x80
+ZERO_MARKER, CENTS_MARKER, MOST_MARKER, POSITIVE = 0x81, 0x3F, 0x45, 0x80
 #: Fixed values of a sparse record: longest body, end mark, bytes of each class with a fixed width.
 RECORD_LIMIT, END = 30_000, 0xFFFF
 WIDTHS = {"F": 4, "I": 4, "L": 4, "H": 2, "U": 2, "M": 6, "Z": 9}
@@ -44,22 +44,22 @@ def hex_bytes(value: Column, width: int, little: bool = False) -> Column:
     return F.unhex(F.concat(*(reversed(parts) if little else parts)))
 
 
-#: Flag bits of the six-byte balance (kind is in the two low bits: 0 dollars).
-NEGATIVE, ERROR, PERCENT, EMPTY = 0x80, 0x40, 0x20, 0x10
+#: Flag bits of the six-byte balance.
+QUANTITY, NEGATIVE, ERROR, PERCENT, EMPTY = 0x01, 0x02, 0x04, 0x08, 0x10
 
 
 def legacy_cents(data: Column) -> Column:
     """Signed cents of [cents, flags, dollars (four bytes, most first)]; null if not plain money."""
     cents, flags = byte(data, 0), byte(data, 1)
     dollars = F.conv(F.hex(F.substring(data, 3, 4)), 16, 10).cast("bigint")
-    plain = (F.length(data) == 6) & (cents <= 99) & (flags.bitwiseAND(0x7F) == 0)
+    plain = (F.length(data) == 6) & (cents <= 99) & flags.isin(0, NEGATIVE)
     value = dollars * 100 + cents
-    return F.when(plain, F.when(flags >= NEGATIVE, -value).otherwise(value))
+    return F.when(plain, F.when(flags == NEGATIVE, -value).otherwise(value))
 
 
 def legacy_bytes(cents: Column) -> Column:
     size = F.abs(cents)
-    return F.unhex(F.concat(F.lpad(F.hex(size % 100), 2, "0"), F.when(cents < 0, "80").otherwise("00"), F.lpad(F.hex(F.floor(size / 100).cast("bigint")), 8, "0")))
+    return F.unhex(F.concat(F.lpad(F.hex(size % 100), 2, "0"), F.when(cents < 0, f"{NEGATIVE:02X}").otherwise("00"), F.lpad(F.hex(F.floor(size / 100).cast("bigint")), 8, "0")))
 
 
 def base100_cents(token: Column) -> Column:

@@ -138,7 +138,7 @@ def balance_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BALANCES = """WITH x AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)
 SELECT c_custkey, cents, cents AS legacy_cents, cents AS base100_cents,
-printf('%02X', abs(cents) % 100) || CASE WHEN cents < 0 THEN '80' ELSE '00' END || printf('%08X', abs(cents) // 100) AS legacy FROM x"""
+printf('%02X', abs(cents) % 100) || CASE WHEN cents < 0 THEN '02' ELSE '00' END || printf('%08X', abs(cents) // 100) AS legacy FROM x"""
 
 
 def leb128_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
