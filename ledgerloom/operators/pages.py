@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.codecs import byte, entropy
 
@@ -75,7 +76,7 @@ def scan_rows(pages: DataFrame, first: int = 1, end: int | None = None) -> DataF
     return chosen.select("page_number", "bytes").mapInPandas(run, "page_number int, outcome string, slot int, start int, row binary")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entropy_bits(data: pd.Series) -> pd.Series:
     """Bits per byte of the data area of a page."""
     return pd.Series([None if x is None else entropy(bytes(x)[:DATA_END]) for x in data], dtype="float64")
