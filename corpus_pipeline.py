@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, language, line_dedup, mixing, simhash
 from ledgerloom.llm.common import checkpoint_folder
 
-#: Least score of a language prediction that is believed.
-LEAST_SCORE = 0.5
+#: Least score of a language prediction that is believed: under it, family and language are both no better than
+#: a toss. Texts that mix two languages score higher and stay.
+LEAST_SCORE = 0.25
 
 ORACLE_SQL = None
 
