@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE}
+    return {"op3_secrets": secret_scan.oracle(), "op6_line_dedup": line_dedup.ORACLE}

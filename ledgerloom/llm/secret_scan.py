@@ -143,3 +143,46 @@ def as_text(spans: Column) -> Column:
 def how_many(spans: Column, kind: str) -> Column:
     rank = [k for k, *_ in BASE].index(kind)
     return F.size(F.filter(spans, lambda x: x["k"] == rank)).cast("long")
+
+
+def _sql_spans(words: str, between: str, rank: int, keep: str) -> str:
+    """The SQL list of spans (s, k, e) of aligned lists of matches and of the pieces before them; keep is said of i."""
+    upto = lambda of, end: f"coalesce(list_sum(list_transform({of}[1:{end}], lambda x: length(x))), 0)"
+    start = f"({upto(between, 'i')} + {upto(words, 'i - 1')})"
+    ids = f"list_filter(range(1, len({words}) + 1), lambda i: {keep})"
+    return f"list_transform({ids}, lambda i: {{'s': CAST({start} AS BIGINT), 'k': {rank}, 'e': CAST({start} + length({words}[i]) AS BIGINT)}})"
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def oracle() -> str:
+    """op3 over `documents` in SQL; the entropy of each window is counted afresh."""
+    parts, lists = [], []
+    for rank, (kind, pattern, group, least) in enumerate(BASE):
+        p = _sql_text(pattern)
+        parts.append(f"regexp_extract_all(t, {p}, 0) AS {kind}_w, regexp_extract_all(t, {p}, {group}) AS {kind}_g, string_split_regex(t, {p}) AS {kind}_b")
+        lists.append(_sql_spans(f"{kind}_w", f"{kind}_b", rank, f"length({kind}_g[i]) >= {least}"))
+    c = _sql_text(CANDIDATE)
+    parts.append(f"regexp_extract_all(t, {c}, 0) AS cand_w, string_split_regex(t, {c}) AS cand_b")
+    w, holds = "cand_w[i]", lambda p: f"regexp_matches(cand_w[i], {_sql_text(p)})"
+    full = lambda p: f"regexp_full_match({w}, '{p}')"
+    made_of = {
+        "hexadecimal": f"{full('[0-9a-f]+|[0-9A-F]+')} AND {holds('[0-9]')} AND {holds('[a-fA-F]')}",
+        "base32": f"{full('[A-Z2-7]+=*')} AND {holds('[2-7]')} AND {holds('[A-Z]')}",
+        "base64": f"{holds('[0-9]')} AND {holds('[a-z]')} AND {holds('[A-Z]')}",
+    }
+    best = f"list_max(list_transform(range(1, length({w}) - 18), lambda j: list_aggregate(string_split(substr({w}, j, 20), ''), 'entropy')))"
+    random = " OR ".join(f"({made_of[k]} AND {best} >= {bound})" for k, _, _, bound in CLASSES)
+    repeats = f"len(list_filter(range(1, length({w}) - 6), lambda j: substr({w}, j, 8) = repeat(substr({w}, j, 1), 8))) > 0"
+    allowed = " OR ".join([*(holds(p) for p in ALLOWED[:3]), repeats])
+    lists.append(_sql_spans("cand_w", "cand_b", len(BASE), f"NOT ({allowed}) AND ({random})"))
+    names = "['" + "', '".join([*(k for k, *_ in BASE), "entropy"]) + "']"
+    text = lambda spans: f"array_to_string(list_transform(list_sort({spans}), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    base = " || ".join(f"coalesce({k}_s, [])" for k, *_ in BASE)
+    counts = ", ".join(f"CAST(len({k}_s) AS BIGINT) AS n_{k}" for k, *_ in BASE)
+    spans = ", ".join(f"{s} AS {k}_s" for s, k in zip(lists, [*(k for k, *_ in BASE), "cand"], strict=True))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {", ".join(parts)} FROM d),
+s AS (SELECT doc_id, {spans} FROM m)
+SELECT doc_id, {counts}, sha256({text(base)}) AS base_sha256, {text(base + " || coalesce(cand_s, [])")} AS spans FROM s"""
