@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, small
 
 #: Raking rounds between two checks of the marginals, the largest accepted error of a share, and most checks.
-ROUNDS, TOLERANCE, CHECKS = 4, 1e-6, 12
+ROUNDS, TOLERANCE, CHECKS = 4, 1e-10, 25
 #: Share of the tokens to keep, and the salt of the draw.
 BUDGET, SALT = 0.7, "mix-1"
 #: Targets are the natural marginals to this power: below 1 small sources and languages gain.
@@ -99,12 +99,12 @@ def keep_rates(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     """raked with `rate`, min(1, c * weight / natural); c makes the expected share of kept tokens the budget.
 
     If the cells with a target hold less than the budget, all of them are kept. c is
-    bracketed by sums for 64 candidates at a time, four times over.
+    bracketed by sums for 64 candidates at a time, six times over.
     """
     raked = cut(raked)
     ratio = F.when(F.col("natural") > 0, F.col("weight") / F.col("natural")).otherwise(0.0)
     low, high = -40.0, 40.0  # powers of two
-    for _ in range(4):
+    for _ in range(6):
         width = (high - low) / 63
         steps = [low + i * width for i in range(64)]
         sums = raked.agg(*(F.sum(F.col("natural") * F.least(F.lit(1.0), F.lit(2.0**s) * ratio)).alias(f"s{i}") for i, s in enumerate(steps))).first()
@@ -138,3 +138,32 @@ def mix(
     same = F.col(source).eqNullSafe(F.col("__s")) & F.col(lang).eqNullSafe(F.col("__l")) & (F.col("__topic") == F.col("__p"))
     joined = rows.join(table, same, "left").drop("__s", "__l", "__p")
     return joined.withColumn("__kept", draw(id_col, salt) < F.col("__rate"))
+
+
+def oracle(rounds: int = 24) -> str:
+    """op1 over `documents` in SQL: the same raking, unrolled, and the scale solved in closed form."""
+    dims = list(TEMPERATURE)
+    goals = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {d}), {p}) AS raw_{d}" for d, p in TEMPERATURE.items())
+    totals = ", ".join(f"(SELECT sum(g) FROM (SELECT any_value(raw_{d}) AS g FROM raw GROUP BY {d})) AS all_{d}" for d in dims)
+    steps, last = [], "w0"
+    for i in range(rounds):
+        for d in dims:
+            name = f"w{i}_{d}"
+            steps.append(f"{name} AS (SELECT * REPLACE (w * raw_{d} / all_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
+            last = name
+    return f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+facts AS (SELECT doc_id, source, lang, CAST(len(regexp_extract_all(t, '\\S+')) AS BIGINT) AS n_tokens,
+  CASE WHEN trim(t, ' ') = '' THEN 'empty' WHEN contains(t, ' | ') THEN 'table' WHEN regexp_matches(t, '###|%%%|\\*\\*\\*|\\$\\$\\$|&&&') THEN 'markup'
+    WHEN regexp_matches(t, '(?i)licen[cs]ed? |all rights reserved') THEN 'licensed' WHEN regexp_matches(t, '[a-z]') THEN 'prose' ELSE 'capitals' END AS topic FROM d),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM facts GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0),
+raw AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS given, {goals} FROM cells),
+w0 AS (SELECT *, given AS w, {totals} FROM raw),
+{", ".join(steps)},
+raked AS (SELECT source, lang, topic, given, w / (SELECT sum(w) FROM {last}) AS weight FROM {last}),
+ordered AS (SELECT *, weight / given AS ratio, coalesce(sum(given) OVER (ORDER BY weight / given DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+  sum(weight) OVER (ORDER BY weight / given DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM raked),
+scale AS (SELECT ({BUDGET} - capped) / rest AS c FROM ordered WHERE ({BUDGET} - capped) / rest * ratio <= 1 ORDER BY ratio DESC LIMIT 1),
+rates AS (SELECT source, lang, topic, weight, least(1.0, (SELECT c FROM scale) * ratio) AS rate FROM ordered)
+SELECT doc_id, f.source, f.lang, f.topic, n_tokens, round(coalesce(weight, 0), 7) AS cell_weight, round(coalesce(rate, 0), 5) AS rate,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SALT}'), 1, 12) AS BIGINT) / 281474976710656.0 < coalesce(rate, 0) AS kept
+FROM facts f LEFT JOIN rates r ON f.source IS NOT DISTINCT FROM r.source AND f.lang IS NOT DISTINCT FROM r.lang AND f.topic = r.topic"""

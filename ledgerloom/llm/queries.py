@@ -17,7 +17,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(read(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
-        F.col("__weight").alias("cell_weight"), F.col("__rate").alias("rate"), F.col("__kept").alias("kept"),
+        F.round("__weight", 7).alias("cell_weight"), F.round("__rate", 5).alias("rate"), F.col("__kept").alias("kept"),
     )
 
 
@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": secret_scan.oracle(), "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_mixing": mixing.oracle(), "op3_secrets": secret_scan.oracle(), "op6_line_dedup": line_dedup.ORACLE}
