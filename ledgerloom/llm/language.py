@@ -132,7 +132,7 @@ def fit_machines(x: np.ndarray, labels: np.ndarray) -> Machines:
     found = []
     for i, j in pairs:
         own = (labels == classes[i]) | (labels == classes[j])
-        found.append(fit_pair(x[own], np.where(labels[own] == classes[i], 1, -1).astype(np.float32)))
+        found.append(fit_pair(x if own.all() else x[own], np.where(labels[own] == classes[i], 1, -1).astype(np.float32)))
     weight = np.stack([f[0] for f in found], 1) if found else np.zeros((DIMENSIONS, 0), np.float32)
     rest = np.array([f[1:] for f in found], np.float64).reshape(-1, 3)
     return Machines(classes, pairs, weight, rest[:, 0], rest[:, 1], rest[:, 2])
@@ -167,15 +167,21 @@ class Model:
         return out, np.clip(score, 0, 1)
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """rows: (language, trigram counts)."""
-    rows = [(lang, c) for lang, c in rows if c.sum()]
+Sample = list[tuple[str, np.ndarray, np.ndarray]]
+
+
+def fit(rows: Sample) -> Model:
+    """rows: (language, trigram buckets, their counts)."""
+    rows = [r for r in rows if len(r[1])]
     if not rows:
         return Model()
-    langs = np.array([lang for lang, _ in rows], object)
-    x = np.stack([c / c.sum() for _, c in rows]).astype(np.float32)
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)  # rare trigrams count for more; folded into the weights below
-    scale /= np.sqrt((x * scale).var(axis=0).sum() + 1e-12) + 1e-6
+    langs = np.array([r[0] for r in rows], object)
+    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for i, (_, at, n) in enumerate(rows):
+        x[i, at] = n / n.sum()
+    mean, square = x.mean(axis=0), np.einsum("ij,ij->j", x, x) / len(x)
+    scale = 1 / np.sqrt(mean + 1e-5)  # rare trigrams count for more; folded into the weights below
+    scale /= np.sqrt((np.maximum(0, square - mean**2) * scale**2).sum() + 1e-12) + 1e-6
     x *= scale
     family = np.array([family_of(lang) for lang in langs], object)
     model = Model(fit_machines(x, family))
@@ -186,7 +192,7 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
-def sample_counts(df: DataFrame, text: str, lang: str, id_col: str, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, np.ndarray]]:
+def sample_counts(df: DataFrame, text: str, lang: str, id_col: str, sample_rows: int = SAMPLE_ROWS) -> Sample:
     """Trigram counts of a sample of labelled rows: about equally many of each language, sample_rows at most.
 
     A row is drawn if a hash of its id falls under its language's rate, so copies of one text are not
@@ -217,9 +223,7 @@ def sample_counts(df: DataFrame, text: str, lang: str, id_col: str, sample_rows:
     out = []
     for lang, packed in sorted(map(tuple, drawn.mapInArrow(run, "lang string, packed binary").limit(3 * 2 * sample_rows).collect())):
         at, n = np.frombuffer(packed, "<u4").reshape(2, -1)
-        c = np.zeros(DIMENSIONS, np.int64)
-        c[at] = n
-        out.append((lang, c))
+        out.append((lang, at.astype(np.int64), n.astype(np.float32)))
     return out
 
 
