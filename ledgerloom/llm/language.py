@@ -35,8 +35,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
 DIMENSIONS = 4096
-#: Bytes scored at a time.
-PIECE = 1 << 21
+#: Bytes scored at a time, and bytes of a batch that are looked at together.
+PIECE, SLICE = 1 << 18, 1 << 20
 #: Labelled rows that training may use, over all languages together.
 SAMPLE_ROWS = 1600
 #: Pieces of so many bytes of each sampled text are trained on too, so that short texts are at home in the model.
@@ -269,13 +269,16 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            has = np.array([t is not None for t in texts], bool)
-            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if has.any():
-                langs[has], scores[has] = model.predict(sums([_blob(t) for t in texts if t is not None], table))
-            made = [pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[f.name for f in fields])
+            rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                has = np.array([t is not None for t in texts], bool)
+                langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+                if has.any():
+                    langs[has], scores[has] = model.predict(sums([_blob(t) for t in texts if t is not None], table))
+                made = [pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))
 
