@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens whose ids a Python worker remembers; the table is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Texts of more characters than this are pre-tokenised piecewise.
-LONG_TEXT = 1 << 20
+LONG_TEXT = 1 << 18
 #: Bytes of pre-tokens that share one run of the queue.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 17
 
 
 class RankQueue:
@@ -162,7 +162,7 @@ class Encoder:
     def pieces(self, text: str) -> Iterator[list[str]]:
         """A very long text's pre-tokens, some at a time."""
         found = (m[0] for m in self.split.finditer(text))
-        while some := list(islice(found, 100_000)):
+        while some := list(islice(found, 50_000)):
             yield some
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -208,7 +208,7 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
-            rows = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))  # about 4 MB of input at a time
+            rows = max(1, batch.num_rows * (1 << 20) // max(1, batch.nbytes))  # about 1 MB of input at a time
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 ids = own.encode(part.column(part.num_columns - 1).to_pylist())
