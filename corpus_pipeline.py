@@ -4,7 +4,7 @@ Stages take (spark, docs, sf_dir) and return the columns of docs, the last one t
 
 1. language ID: texts without a letter and texts the model is unsure of go;
 2. line dedup: lines that too many pages of a source hold go from the texts;
-3. SimHash near-dedup: one document of each group stays;
+3. near-dedup: one document of each group stays, linked by a Jaccard similarity of 0.8 of five-word shingles;
 4. mixing: documents are drawn so that source, language and topic meet their target weights;
 5. byte BPE: the texts' token ids, and the digest of what they decode to.
 

@@ -12,11 +12,16 @@
 5. A task returns, for each fingerprint with a neighbour, one link to the least fingerprint of its
    local component: as many rows as fingerprints, never all pairs. Links are joined into global
    components by alternating large-star and small-star steps.
+
+The pipeline's stage asks for more than three bits can hold: pairs whose sets of five-word shingles have a
+Jaccard similarity of 0.8 differ by about ten bits. `drop_near_duplicates` therefore takes its candidates
+from MinHash bands and confirms each by the exact sets; the components are joined as above.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -36,6 +41,11 @@ BUCKET, CHUNK = 4096, 16384
 #: Shingles hashed and summed at a time.
 SHINGLES = 1 << 16
 SEED = 42
+#: The pipeline's stage: words of a shingle, and least Jaccard similarity of the sets of two near copies.
+STAGE_WIDTH, STAGE_JACCARD = 5, 0.8
+#: MinHash bands and values in each: a pair at 0.8 shares no band with a probability of (1 - 0.8**4)**20 = 2.7e-5.
+BANDS, BAND_ROWS = 20, 4
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -230,14 +240,112 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     return marked.join(table, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose id names their component: one document of each group stays, all columns as they are.
+def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted: words as in `fingerprint`; a shorter sequence is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = list(accumulate(len(w) + 1 for w in words))
+    width = min(width, len(words))
+    starts = [0, *ends]
+    return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)), np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are the same."""
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band of BAND_ROWS MinHash values of a set; no key of an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, (hashes[at : at + (1 << 10), None] * FACTORS).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
-    Rows that share the id and the component are repeats of one document; the one with the
+
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _banded(df: DataFrame, text: str) -> DataFrame:
+    """The other columns of df with node (long, the hash of the text's shingle set) and bands (array<long>)."""
+    rest = [c for c in df.columns if c != text]
+    kept = df.select(*rest, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    fields = [*kept.schema.fields[:-1], T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, bands = [], []
+            for x in batch.column(batch.num_columns - 1):
+                hashes = shingle_set(x.as_py())
+                nodes.append(_long(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                bands.append([_long(k) for k in band_keys(hashes)])
+            columns = [*batch.columns[:-1], pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return kept.mapInArrow(run, T.StructType(fields))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts, by (node, text), have at least so large a Jaccard similarity. Materialised."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = batch.column(2), batch.column(3)
+            good = [jaccard(shingle_set(x.as_py()), shingle_set(y.as_py())) >= least for x, y in zip(s, t, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return cut(both.mapInArrow(run, "a long, b long"))
+
+
+def jaccard_components(marked: DataFrame, texts: DataFrame, least: float = STAGE_JACCARD) -> DataFrame:
+    """(node, root) of the nodes linked over pairs of at least so large a Jaccard similarity; nodes without a link are left out.
+
+    marked: (node, bands), texts: (node, text), one row each. First every node is compared with the least node of each
+    of its buckets, one for a band; then, in the buckets that still hold several components, all pairs across these.
+    """
+    members = cut(marked.select("node", F.posexplode("bands").alias("band", "key")))
+    least_node = members.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = members.join(least_node, ["band", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    links = _confirmed(cut(stars), texts, least)
+    roots = components(links)
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    rooted = cut(rooted.join(mixed, ["band", "key"], "left_semi"))
+    sides = rooted.select("band", "key", "root").distinct()
+    across = sides.withColumnRenamed("root", "x").join(sides.withColumnRenamed("root", "y"), ["band", "key"]).where("x < y")
+    one = rooted.select("band", "key", F.col("root").alias("x"), F.col("node").alias("a"))
+    two = rooted.select("band", "key", F.col("root").alias("y"), F.col("node").alias("b"))
+    pairs = across.join(one, ["band", "key", "x"]).join(two, ["band", "key", "y"]).select("a", "b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return components(links.union(_confirmed(cut(pairs), texts, least)))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = STAGE_JACCARD) -> DataFrame:
+    """One row of each group of near copies, all columns as they are: the one with the least id.
+
+    Near copies are linked over pairs whose sets of STAGE_WIDTH-word shingles have a Jaccard similarity of
+    at least `least`; candidates share one of BANDS MinHash bands and are confirmed by their exact sets.
+    Rows that share the id and the group are repeats of one document; the one with the
     least text, then the least xxhash64 of all columns, stays.
     """
-    found = near_duplicates(df, id_col, text).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = cut(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows")))
+    marked = cut(_banded(df.select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), F.col(text).alias("text")), "__t"))
+    groups = cut(marked.groupBy("node").agg(F.min("__id").alias("own"), F.first("bands").alias("bands"), F.min("text").alias("text")))
+    roots = cut(jaccard_components(groups.select("node", "bands"), groups.select("node", "text"), least))
+    named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min("own").alias("component_id"))
+    table = named.join(best, "root").select("node", "component_id")
+    found = marked.join(table, "node").where(F.col("__id").eqNullSafe(F.col("component_id")))
+    stay = cut(found.groupBy("__id").agg(F.count("*").alias("__rows")))
     kept = df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")))
     if not stay.where("__rows > 1").isEmpty():
         order = Window.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*df.columns))

@@ -193,3 +193,84 @@ def test_line_dedup_by_shuffle_join(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert rows() == want and any(n for *_, n in want)
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard_pairs(docs):
+    """Pairs (i, j), j < i, of places in docs at 0.8 or more, by brute force over an inverted index."""
+    sets, shared, where = [five_words(t) for _, t in docs], Counter(), defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in where[x]:
+                shared[i, j] += 1
+            where[x].append(i)
+    found = {p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    empty = [i for i, s in enumerate(sets) if not s]
+    return found | {(i, empty[0]) for i in empty[1:]}
+
+
+def groups_of(docs, pairs):
+    own = list(range(len(docs)))
+
+    def find(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        own[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(docs))]
+
+
+def edited_families(rng, families=40, copies=4):
+    """Texts and near copies: a few words replaced, most of them beyond three bits of SimHash."""
+    docs = []
+    for _ in range(families):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 400))]
+        docs.append(" ".join(words))
+        for _ in range(copies):
+            near = list(words)
+            for at in rng.sample(range(len(words)), rng.randrange(1, max(2, len(words) // 60))):
+                near[at] = f"v{rng.randrange(5000)}"
+            docs.append(" ".join(near))
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def survivors(spark, docs):
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
+def test_stage_drops_all_copies_at_four_fifths(spark):
+    docs = edited_families(random.Random(5))
+    pairs = jaccard_pairs(docs)
+    fps = [simhash.fingerprint(t) for _, t in docs]
+    apart = sum(((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() > 3 for i, j in pairs)
+    assert len(pairs) > 200 and apart > len(pairs) / 2
+    assert survivors(spark, docs) == sorted(set(groups_of(docs, pairs)))
+
+
+def test_stage_against_brute_force_over_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    docs = [(r.doc_id, r.text) for r in rows]
+    assert survivors(spark, docs) == sorted({docs[i][0] for i in groups_of(docs, jaccard_pairs(docs))})
+
+
+def test_stage_finds_pairs_across_components_of_a_bucket(spark):
+    """One bucket for all: chains whose ends are unlike, and texts that only share words, are told apart by exact sets."""
+    rng, docs = random.Random(8), []
+    for _ in range(6):
+        words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        for _ in range(5):
+            docs.append(" ".join(words))
+            words = words[15:] + [f"w{rng.randrange(9000)}" for _ in range(15)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    marked = spark.createDataFrame([(i, [1]) for i, _ in docs], "node long, bands array<long>")
+    roots = {r.node: r.root for r in simhash.jaccard_components(marked, spark.createDataFrame(docs, "node long, text string")).collect()}
+    assert [roots.get(i, i) for i, _ in docs] == groups_of(docs, jaccard_pairs(docs))
