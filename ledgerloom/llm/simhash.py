@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,19 +335,20 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     Near copies are linked over pairs whose sets of STAGE_WIDTH-word shingles have a Jaccard similarity of
     at least `least`; candidates share one of BANDS MinHash bands and are confirmed by their exact sets.
-    Rows that share the id and the group are repeats of one document; the one with the
-    least text, then the least xxhash64 of all columns, stays.
+    A null id comes after all others and means nothing: rows are told apart by two hashes of all columns, the
+    lesser of which settles ties of the id. An id may stand in several groups; each keeps its own row.
     """
-    marked = cut(_banded(df.select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), F.col(text).alias("text")), "__t"))
-    groups = cut(marked.groupBy("node").agg(F.min("__id").alias("own"), F.first("bands").alias("bands"), F.min("text").alias("text")))
+    values = [*(F.col(c) for c in df.columns), F.concat(*(F.col(c).isNull().cast("string") for c in df.columns))]
+    marks = {f"__h{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)}
+    rows = df.withColumns(marks)
+    marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t"), F.col(text).alias("text")), "__t"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
+    groups = cut(marked.groupBy("node").agg(first, F.first("bands").alias("bands"), F.min("text").alias("text")))
     roots = cut(jaccard_components(groups.select("node", "bands"), groups.select("node", "text"), least))
     named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = named.groupBy("root").agg(F.min("own").alias("component_id"))
-    table = named.join(best, "root").select("node", "component_id")
-    found = marked.join(table, "node").where(F.col("__id").eqNullSafe(F.col("component_id")))
-    stay = cut(found.groupBy("__id").agg(F.count("*").alias("__rows")))
-    kept = df.join(stay, F.col(id_col).eqNullSafe(F.col("__id")))
-    if not stay.where("__rows > 1").isEmpty():
-        order = Window.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*df.columns))
-        kept = kept.withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
-    return kept.select(*df.columns)
+    best = named.groupBy("root").agg(F.min("own").alias("own")).select(*(F.col(f"own.{m}").alias(m) for m in marks))
+    stay = cut(marked.join(best, [*marks]).groupBy(*marks).agg(F.count("*").alias("__rows")))
+    once = rows.join(stay.where("__rows = 1"), [*marks], "left_semi")
+    if not (more := stay.where("__rows > 1")).isEmpty():
+        once = once.unionByName(rows.join(more, [*marks], "left_semi").dropDuplicates([*marks]))
+    return once.select(*df.columns)

@@ -274,3 +274,15 @@ def test_stage_finds_pairs_across_components_of_a_bucket(spark):
     marked = spark.createDataFrame([(i, [1]) for i, _ in docs], "node long, bands array<long>")
     roots = {r.node: r.root for r in simhash.jaccard_components(marked, spark.createDataFrame(docs, "node long, text string")).collect()}
     assert [roots.get(i, i) for i, _ in docs] == groups_of(docs, jaccard_pairs(docs))
+
+
+def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    """Null ids, an id of two unrelated texts, and a near copy whose id also names another group."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " x"), (None, None), (None, None), (1, c), (1, d), (2, d), (3, e), (3, e), (3, c + " y"), (None, e)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter((r.doc_id, r.text) for r in got)
+    b_row = next(r for r in got if r.text and r.text.startswith(b))
+    assert kept == Counter([(None, a), (None, b_row.text), (None, None), (1, c), (1, d), (3, e)])
