@@ -49,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with their calibrated probability."""
-    return mixing.mix(docs).where("__kept").select(*docs.columns)
+    """Documents drawn so that the kept tokens meet the targets; the budget is an upper limit."""
+    return mixing.mix(docs, topic=mixing.kind_of, marginals_first=True).where("__kept").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

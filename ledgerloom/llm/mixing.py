@@ -11,9 +11,11 @@ needs no shuffle; the documents' texts never move.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Callable, Mapping
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ BUDGET, SALT = 0.7, "mix-1"
 #: Targets are the natural marginals to this power: below 1 small sources and languages gain.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 
+#: Largest relative error of a kept share against its target, and most cells for which the driver seeks the largest budget.
+KEPT, CELLS = 1e-3, 200_000
+
 
 def tokens_of(text: Column) -> Column:
     """A cheap count for weighting: runs of other than white space."""
@@ -54,6 +59,31 @@ def targets_by_temperature(cells: DataFrame, dims: Mapping[str, float]) -> dict[
     return out
 
 
+def kind_of(text: Column) -> Column:
+    """A coarse kind of document by the shares of its characters; no marker of a certain corpus is read."""
+    text = F.coalesce(text, F.lit(""))
+    n = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
+    seen = F.length(F.regexp_replace(text, r"\s+", "")).cast("double")
+    upper, digits, words = n(r"[^\p{Lu}]+"), n(r"[^\p{N}]+"), n(r"[^\p{L}\p{M}\p{N}]+")
+    return (
+        F.when(seen == 0, "empty").when(words < seen * 0.8, "symbols").when(digits >= words * 0.2, "numbers").when(upper >= words * 0.5, "capitals").otherwise("prose")
+    )
+
+
+def attainable(cells: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> dict[str, DataFrame]:
+    """The targets with each share at most what all tokens of its value make up of the budget; the others share
+    the rest in proportion. A rare value would otherwise hold the whole mixture down to a few times its own tokens."""
+    out = {}
+    for dim, target in targets.items():
+        goal = target.groupBy("value").agg(F.sum("share").alias("weight"))
+        sums = cells.groupBy(dim).agg(F.sum("tokens").alias("n")).where("n > 0")
+        both = sums.join(goal, F.col(dim).eqNullSafe(F.col("value"))).select(F.col(dim).alias("value"), "weight", F.col("n").cast("double").alias("n"))
+        whole = both.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
+        both = both.crossJoin(F.broadcast(whole)).select("value", (F.col("n") / F.col("all_n")).alias("natural"), (F.col("weight") / F.col("all_w")).alias("weight"))
+        out[dim] = cut(keep_rates(both, budget).select("value", (F.col("natural") * F.col("rate")).alias("share")))
+    return out
+
+
 def count_cells(df: DataFrame, dims: list[str], tokens: str) -> DataFrame:
     """(dims, tokens, docs): one row for each combination; combined map-side, so hot values cost nothing."""
     return df.groupBy(*dims).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("docs"))
@@ -113,6 +143,82 @@ def keep_rates(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     return raked.withColumn("rate", F.least(F.lit(1.0), F.lit(2.0**high) * ratio))
 
 
+def _bounded(weight: np.ndarray, natural: np.ndarray, dims: list[np.ndarray], budget: float, rounds: int = 300) -> np.ndarray | None:
+    """Rates of at most 1 that keep budget * weight in each value of each dimension: raking under upper bounds.
+
+    A step solves for the factor of each value exactly: its cells in order of their rates, the highest cut at 1.
+    None if some value's share is still off by more than KEPT of it after the last round.
+    """
+    goals = [budget * np.bincount(d, weight) for d in dims]
+    rate = budget * weight / natural
+    for _ in range(rounds):
+        for d, goal in zip(dims, goals, strict=True):
+            order = np.lexsort((-rate, d))
+            g, n, r = d[order], natural[order], rate[order]
+            first = np.searchsorted(g, np.arange(len(goal)))
+            upto, kept = np.cumsum(n) - n, np.cumsum(n * r)
+            capped = upto - upto[first][g]
+            rest = (kept[np.append(first[1:], len(g)) - 1])[g] - kept + n * r
+            factor = np.where(rest > 0, (goal[g] - capped) / np.where(rest > 0, rest, 1.0), np.inf)
+            fits = np.flatnonzero((factor * r <= 1 + 1e-12) & (factor > 0))
+            chosen = np.full(len(goal), np.nan)
+            values, at = np.unique(g[fits], return_index=True)
+            chosen[values] = factor[fits[at]]
+            if np.isnan(chosen).any():
+                return None
+            rate = rate * chosen[d]
+        kept = natural * np.minimum(1.0, rate)
+        if all((np.abs(np.bincount(d, kept) - goal) <= KEPT * goal).all() for d, goal in zip(dims, goals, strict=True)):
+            return np.minimum(1.0, rate)
+    return None
+
+
+def marginal_rates(raked: DataFrame, dims: list[str], budget: float = BUDGET) -> DataFrame:
+    """raked with `rate` such that the kept tokens have the raked marginals; budget is an upper limit.
+
+    weight / natural times one factor meets them exactly while no rate exceeds 1. If that keeps less than the
+    budget, rates are raked under the bound 1 for the largest share of tokens that still meets every marginal
+    within KEPT, found by bisection over the cells; beyond CELLS cells the one factor stays: exact, but fewer tokens.
+    """
+    raked = cut(raked)
+    ratio = F.when(F.col("natural") > 0, F.col("weight") / F.col("natural")).otherwise(0.0)
+    top = raked.agg(F.max(ratio), F.count("*")).first()
+    low = min(budget, 1.0 / top[0]) if top[0] else 0.0
+    if low >= budget or not top[0] or top[1] > CELLS:
+        return raked.withColumn("rate", F.least(F.lit(1.0), F.lit(low) * ratio))
+    rows = raked.collect()
+    live = np.flatnonzero([r.weight > 0 and r.natural > 0 for r in rows])
+    weight, natural = (np.array([rows[i][c] for i in live]) for c in ("weight", "natural"))
+    codes = []
+    for d in dims:
+        place: dict = {}
+        codes.append(np.array([place.setdefault(rows[i][d], len(place)) for i in live]))
+    high = min(budget, *((np.bincount(c, natural) / np.bincount(c, weight)).min() for c in codes))
+    rates, share = low * weight / natural, high
+    for _ in range(9):
+        found = _bounded(weight, natural, codes, share)
+        low, high, rates = (share, high, found) if found is not None else (low, share, rates)
+        if high - low <= 1e-9:
+            break
+        share = (low + high) / 2
+    rate = np.zeros(len(rows))
+    rate[live] = rates
+    schema = raked.schema.add("rate", "double")
+    return raked.sparkSession.createDataFrame([(*r, float(x)) for r, x in zip(rows, rate, strict=True)], schema)
+
+
+def kept_marginals(rates: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """(dim, value, target, kept): shares of each value that has tokens, wanted and among the tokens expected to be kept."""
+    parts = []
+    for dim, target in targets.items():
+        goal = target.groupBy("value").agg(F.sum("share").alias("g"))
+        have = rates.groupBy(F.col(dim).alias("v")).agg(F.sum(F.col("natural") * F.col("rate")).alias("k"), F.sum("natural").alias("n")).where("n > 0")
+        both = have.join(goal, F.col("v").eqNullSafe(F.col("value")), "left").select("v", F.coalesce("g", F.lit(0.0)).alias("g"), "k")
+        whole = both.agg(F.sum("g").alias("all_g"), F.sum("k").alias("all_k"))
+        parts.append(both.crossJoin(F.broadcast(whole)).select(F.lit(dim).alias("dim"), F.col("v").alias("value"), F.expr("try_divide(g, all_g)").alias("target"), F.expr("try_divide(k, all_k)").alias("kept")))
+    return reduce(DataFrame.union, parts)
+
+
 def draw(id_col: str, salt: str = SALT) -> Column:
     """A number in [0, 1) that depends on the id alone (null: as the empty string)."""
     digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.lit(salt)))
@@ -122,18 +228,30 @@ def draw(id_col: str, salt: str = SALT) -> Column:
 def mix(
     df: DataFrame, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text: str = "text",
     source: str = "source", lang: str = "lang", budget: float = BUDGET, salt: str = SALT,
+    topic: Callable[[Column], Column] = topic_of, marginals_first: bool = False,
 ) -> DataFrame:
     """df with __topic, __tokens, __weight (raked share of the document's cell), __rate and __kept.
 
     targets: frames (value, share) for source, lang and topic; without them the natural marginals
     to the powers of TEMPERATURE. Null sources or languages are a value of their own. Documents
     without tokens carry no weight and are not kept. Rows of one id are kept or dropped together.
-    An empty table gives an empty result. Columns of df pass through.
+    An empty table gives an empty result. Columns of df pass through. topic: the kind of a text.
+
+    marginals_first: the kept tokens meet the targets and the budget is an upper limit; targets that cannot be met are
+    warned of, and the tempered ones are made `attainable` within the budget. Otherwise the budget is met, and cells cut at a rate of 1 leave the targets (op1's SQL form).
     """
-    rows = df.withColumns({"__topic": topic_of(F.col(text)), "__tokens": tokens_of(F.col(text))})
+    rows = df.withColumns({"__topic": topic(F.col(text)), "__tokens": tokens_of(F.col(text))})
     facts = rows.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n"))
     cells = cut(count_cells(facts, ["source", "lang", "topic"], "n"))
-    rates = cut(keep_rates(rake(cells, targets or targets_by_temperature(cells, TEMPERATURE)), budget))
+    goals = targets or targets_by_temperature(cells, TEMPERATURE)
+    if marginals_first and not targets:
+        goals = attainable(cells, goals, budget)
+    raked = rake(cells, goals)
+    rates = cut(marginal_rates(raked, list(goals), budget) if marginals_first else keep_rates(raked, budget))
+    if marginals_first:
+        missed = kept_marginals(rates, goals).where(F.abs(F.col("kept") - F.col("target")) > 2 * KEPT * F.col("target")).orderBy(F.desc(F.abs(F.col("kept") - F.col("target")))).limit(20).collect()
+        if missed:
+            warnings.warn("targets not met: " + ", ".join(f"{r.dim} {r.value} {r.target:.4f} kept {r.kept:.4f}" for r in missed), stacklevel=2)
     table = small(rates.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__p"), F.col("weight").alias("__weight"), F.col("rate").alias("__rate")), 256)
     same = F.col(source).eqNullSafe(F.col("__s")) & F.col(lang).eqNullSafe(F.col("__l")) & (F.col("__topic") == F.col("__p"))
     joined = rows.join(table, same, "left").drop("__s", "__l", "__p")

@@ -53,6 +53,46 @@ def test_mixing_of_documents(spark):
     assert sum(r.n_tokens * r.rate for r in rows) / sum(r.n_tokens for r in rows) == pytest.approx(mixing.BUDGET, abs=1e-4)
 
 
+def test_kept_tokens_meet_the_targets_before_the_budget(spark):
+    """Equal targets on a hot source; some cells reach a rate of 1."""
+    rng = random.Random(7)
+    rows = [(s, la, p, rng.randrange(50, 900) * (30 if s == "a" else 1), 1) for s in "abcd" for la in ("en", "de", None) for p in "xyz"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    goals = {"source": share(dict.fromkeys("abcd", 1.0)), "lang": share({"en": 0.4, "de": 0.3, None: 0.3}), "topic": share({"x": 0.5, "y": 0.3, "z": 0.2})}
+    raked = mixing.rake(cells, goals)
+    rates = mixing.marginal_rates(raked, list(goals), 0.7)
+    found = mixing.kept_marginals(rates, goals).collect()
+    assert len(found) == 10 and all(r.kept == pytest.approx(r.target, rel=3e-3) for r in found)
+    got = rates.collect()
+    single = 1 / max(r.weight / r.natural for r in got)
+    kept = sum(r.natural * r.rate for r in got)
+    assert single * 1.1 < kept <= 0.7 and max(r.rate for r in got) <= 1
+    before = mixing.kept_marginals(mixing.keep_rates(raked, 0.7), goals).collect()
+    assert max(abs(r.kept - r.target) for r in before) > 0.1
+
+
+def test_stage_mix_of_documents_meets_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs, topic=mixing.kind_of, marginals_first=True).select("source", "lang", "__topic", "__tokens", "__rate").collect()
+    for at, power in enumerate(mixing.TEMPERATURE.values()):
+        natural, kept = collections.Counter(), collections.Counter()
+        for r in rows:
+            natural[r[at]] += r[3]
+            kept[r[at]] += r[3] * (r[4] or 0)
+        goal = {v: n**power for v, n in natural.items() if n}
+        low, high = 0.0, 1e9
+        for _ in range(200):  # no value may be wanted beyond all its tokens
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(natural[v], mid * g) for v, g in goal.items()) < mixing.BUDGET * sum(natural.values()) else (low, mid)
+        goal = {v: min(natural[v], high * g) for v, g in goal.items()}
+        for v, g in goal.items():
+            assert kept[v] / sum(kept.values()) == pytest.approx(g / sum(goal.values()), rel=5e-3)
+    whole = sum(r[3] for r in rows)
+    print("kept", sum(r[3] * (r[4] or 0) for r in rows) / whole)
+    assert 0.5 * whole < sum(r[3] * (r[4] or 0) for r in rows) <= 0.7001 * whole
+
+
 def test_raking_meets_given_targets(spark):
     rows = [(s, la, p, random.Random(f"{s}{la}{p}").randrange(1, 900), 1) for s in "abc" for la in ("en", "de", None) for p in "xy"]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
