@@ -295,6 +295,8 @@ def _banded(df: DataFrame, text: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts, by (node, text), have at least so large a Jaccard similarity. Materialised."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
@@ -310,7 +312,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def jaccard_components(marked: DataFrame, texts: DataFrame, least: float = STAGE_JACCARD) -> DataFrame:
     """(node, root) of the nodes linked over pairs of at least so large a Jaccard similarity; nodes without a link are left out.
 
-    marked: (node, bands), texts: (node, text), one row each. First every node is compared with the least node of each
+    marked: (node, bands), one row each; texts: (node, text), of which only nodes with a candidate are read. First every node is compared with the least node of each
     of its buckets, one for a band; then, in the buckets that still hold several components, all pairs across these.
     """
     members = cut(marked.select("node", F.posexplode("bands").alias("band", "key")))
@@ -341,10 +343,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     values = [*(F.col(c) for c in df.columns), F.concat(*(F.col(c).isNull().cast("string") for c in df.columns))]
     marks = {f"__h{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)}
     rows = df.withColumns(marks)
-    marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t"), F.col(text).alias("text")), "__t"))
+    marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t")), "__t"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
-    groups = cut(marked.groupBy("node").agg(first, F.first("bands").alias("bands"), F.min("text").alias("text")))
-    roots = cut(jaccard_components(groups.select("node", "bands"), groups.select("node", "text"), least))
+    groups = cut(marked.groupBy("node").agg(first, F.first("bands").alias("bands")))
+    owners = groups.select("node", *(F.col(f"own.{m}").alias(m) for m in marks))
+    texts = rows.select(*marks, F.col(text).alias("text")).join(owners, [*marks]).select("node", "text")
+    roots = cut(jaccard_components(groups.select("node", "bands"), texts, least))
     named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("own")).select(*(F.col(f"own.{m}").alias(m) for m in marks))
     stay = cut(marked.join(best, [*marks]).groupBy(*marks).agg(F.count("*").alias("__rows")))
