@@ -10,8 +10,8 @@ from ledgerloom.operators.gates import bounded_broadcast
 
 #: Prefixes that a table name may carry before what a column's stem refers to.
 PREFIXES = ("abmc_", "es_", "i_", "v_", "mv_", "ix_")
-#: Pages of one bucket of the as-of join.
-SPAN = 1 << 16
+#: Pages of one span of the as-of join, and spans of one block in which the last root before each span is looked up.
+SPAN, BLOCK = 64, 1 << 12
 
 
 def attribution_map(tables: DataFrame) -> DataFrame:
@@ -30,17 +30,20 @@ def attribute_pages(pages: DataFrame, tables: DataFrame, page: str = "page_numbe
     """pages with `owner`: the table of the largest root at or before the page, null before the first root or
     beyond a last page that is not less than the root.
 
-    As-of join without sorting the pages: both sides fall into spans of the page range. A span's roots come as
-    one sorted array, headed by the last root before it, and each page takes the last one that is not after it.
+    As-of join without sorting the pages: both sides fall into short spans of the page range. A span's roots, at most
+    SPAN, come as one sorted array, headed by the last root before the span, and each page takes the last one that is not
+    after it. The last root before a span is looked up inside blocks of spans, and then among the blocks' own last roots.
     """
     roots = attribution_map(tables).withColumn("span", F.floor(F.col("root") / SPAN))
     spans = pages.select(F.floor(F.col(page) / SPAN).alias("span")).distinct()
     own = roots.groupBy("span").agg(F.sort_array(F.collect_list(F.struct("root", "name", "last"))).alias("own"))
-    every = spans.join(own, "span", "full_outer")
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.last(F.when(F.col("own").isNotNull(), F.element_at("own", -1)), ignorenulls=True).over(before)
-    table = every.withColumn("lead", lead)
-    roots_of = F.concat(F.when(F.col("lead").isNotNull(), F.array("lead")).otherwise(F.array()), F.coalesce("own", F.array()))
+    every = spans.join(own, "span", "full_outer").select("span", "own", F.element_at("own", -1).alias("top"), F.floor(F.col("span") / BLOCK).alias("block"))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = every.groupBy("block").agg(F.max("top").alias("top"))  # one row for SPAN * BLOCK pages
+    tops = tops.select("block", F.last("top", ignorenulls=True).over(ahead(Window.orderBy("block"))).alias("carried"))
+    table = every.withColumn("lead", F.last("top", ignorenulls=True).over(ahead(Window.partitionBy("block").orderBy("span")))).join(tops, "block")
+    lead = F.coalesce("lead", "carried")
+    roots_of = F.concat(F.when(lead.isNotNull(), F.array(lead)).otherwise(F.array()), F.coalesce("own", F.array()))
     table = bounded_broadcast(table.select("span", roots_of.alias("__roots")))
     joined = pages.withColumn("span", F.floor(F.col(page) / SPAN)).join(table, "span", "left")
     hit = F.try_element_at(F.filter("__roots", lambda r: r["root"] <= F.col(page)), F.lit(-1))
@@ -67,14 +70,18 @@ def fk_graph(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """(source_table, source_column, source_column_id, stem, target_table, score): the best table for each
     *_id or *_id_h column; ties go to the first in catalog order (nth), no fit gives null and 0.
 
-    Stems are few: each distinct one is scored against the catalog's names once, by map-side arg-max.
+    Every case asks that the name hold the stem, so a stem meets its tables by equality with one of the parts of their
+    names; each pair is scored once, by map-side arg-max.
     """
     named = tables.groupBy("table_id").agg(F.min_by("name", "nth").alias("source_table"))
     cols = columns.join(bounded_broadcast(named), "table_id").withColumn("stem", stem(F.col("name"))).where("stem is not null")
     edges = cols.select("source_table", F.col("name").alias("source_column"), F.col("column_id").alias("source_column_id"), "stem").distinct()
     names = tables.groupBy(F.col("name").alias("target_table")).agg(F.min("nth").alias("nth"))
-    scored = edges.select("stem").distinct().join(bounded_broadcast(names), F.contains(F.lower("target_table"), F.lower("stem")))
-    scored = scored.withColumn("score", match_score(F.col("stem"), F.col("target_table"))).where("score > 0")
+    low, n = F.lower("target_table"), F.length("target_table")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(low, i, k))))
+    parts = names.where(n > 0).select("target_table", "nth", F.explode(F.array_distinct(parts)).alias("__part"))
+    stems = edges.select("stem").distinct().withColumn("__part", F.lower("stem"))
+    scored = stems.join(parts, "__part").drop("__part").withColumn("score", match_score(F.col("stem"), F.col("target_table"))).where("score > 0")
     best = scored.groupBy("stem").agg(F.max_by(F.struct("target_table", "score"), F.struct("score", -F.col("nth"))).alias("b"))
     found = edges.join(best, "stem", "left")
     return found.select("source_table", "source_column", "source_column_id", "stem", F.col("b.target_table").alias("target_table"), F.coalesce("b.score", F.lit(0)).alias("score"))
@@ -106,9 +113,10 @@ def agreement_rate(audit: DataFrame) -> DataFrame:
 def nullability(columns: DataFrame) -> DataFrame:
     """(nulls, n, samples): columns by their null byte with the first four distinct names in catalog order."""
     named = columns.groupBy("nulls", "name").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
-    ranked = named.withColumn("place", F.row_number().over(Window.partitionBy("nulls").orderBy("first", "name")))
-    sample = F.sort_array(F.collect_list(F.when(F.col("place") <= 4, F.struct("place", "name"))))
-    return ranked.groupBy("nulls").agg(F.sum("n").alias("n"), F.array_join(F.transform(sample, lambda x: x["name"]), ",").alias("samples"))
+    first = F.row_number().over(Window.partitionBy("nulls").orderBy("first", "name"))  # each task keeps four before the shuffle
+    sample = named.withColumn("place", first).where("place <= 4").groupBy("nulls").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("s"))
+    counts = named.groupBy("nulls").agg(F.sum("n").alias("n"))
+    return counts.join(sample, counts["nulls"].eqNullSafe(sample["nulls"])).select(counts["nulls"], "n", F.array_join(F.transform("s", lambda x: x["name"]), ",").alias("samples"))
 
 
 def width_bands(columns: DataFrame, tables: DataFrame) -> DataFrame:
@@ -154,7 +162,6 @@ def consensus(candidates: DataFrame, key: str, value: str) -> DataFrame:
 
 def owners_by_vote(votes: DataFrame, owner: str, name: str) -> DataFrame:
     """(owner, name, votes): the name with strictly most votes; a tie leaves the owner out."""
-    n = votes.groupBy(owner, name).count()
-    ranked = n.groupBy(owner).agg(F.max(F.struct("count", name)).alias("best"), F.min_by("count", -F.col("count")).alias("m"), F.collect_list("count").alias("c"))
-    ranked = ranked.where(F.size(F.filter("c", lambda x: x == F.col("m"))) == 1)
-    return ranked.select(owner, F.col(f"best.{name}").alias(name), F.col("best.count").alias("votes"))
+    n = votes.groupBy(owner, name).agg(F.count("*").alias("votes"))
+    top = n.groupBy(owner).agg(F.max("votes").alias("votes"))
+    return n.join(top, [owner, "votes"]).groupBy(owner).agg(F.min(name).alias(name), F.min("votes").alias("votes"), F.count("*").alias("n")).where("n = 1").drop("n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,18 @@ def family_gates(rows: DataFrame, master: str) -> DataFrame:
     return each.withColumn("ok", F.col("one_flags") & (~F.col("has_zero") | settled))
 
 
-def resolve_links(nodes: DataFrame, depth: int = 16) -> DataFrame:
-    """(node, terminal): follows `next` links inside a master until a terminal node (is_terminal); null if a link
-    leaves the master, ends elsewhere or does not end within 2**depth steps (a cycle). Pointers double, so a chain of n takes log n joins."""
+def resolve_links(nodes: DataFrame) -> DataFrame:
+    """(master, node, terminal): follows `next` links inside a master until a terminal node (is_terminal); null if a link
+    leaves the master, ends elsewhere or runs in a cycle. Pointers double, so a chain of n takes log n joins; a link
+    that is open after as many steps as there are nodes is in a cycle."""
     base = nodes.select("master", "node", "is_terminal", F.when(~F.col("is_terminal"), F.col("next")).alias("to"))
     table = cut(base.select("master", "node", F.when(F.col("is_terminal"), F.col("node")).alias("terminal"), "to"))
-    for _ in range(depth):
-        if table.where("terminal is null and to is not null").isEmpty():
+    longest = table.groupBy("master").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(math.ceil(math.log2(max(2, longest))) + 1):
+        if table.where("to is not null").isEmpty():
             break
         ahead = table.select("master", F.col("node").alias("to"), F.col("terminal").alias("t2"), F.col("to").alias("to2"))
-        found = F.coalesce("terminal", "t2")
         moved = table.where("to is not null").join(ahead, ["master", "to"], "left")
-        moved = moved.select("master", "node", found.alias("terminal"), F.when(found.isNull(), F.col("to2")).alias("to"))
+        moved = moved.select("master", "node", F.col("t2").alias("terminal"), F.col("to2").alias("to"))
         table = cut(table.where("to is null").unionByName(moved))
     return table.select("master", "node", "terminal")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,28 +194,11 @@ def scan_line_items(pages: DataFrame) -> DataFrame:
 
 
 def carrier_pairs(pages: DataFrame, file: str) -> DataFrame:
-    """One row: consecutive pages of a file by whether each has a directory and the right one a continuation prefix."""
-    w = Window.partitionBy(file).orderBy("page_number")
-    rows = pages.select(
-        F.lag("has_directory").over(w).alias("l"), F.col("has_directory").alias("r"), F.col("has_prefix").alias("p"), (F.col("page_number") - F.lag("page_number").over(w)).alias("gap"),
-    ).where("gap = 1")
+    """One row: consecutive pages of a file by whether each has a directory and the right one a continuation prefix.
+
+    A page meets the one before it by an equality join on file and number, so a file of any size is dealt over all tasks.
+    """
+    left = pages.select(file, (F.col("page_number") + 1).alias("page_number"), F.col("has_directory").alias("l"))
+    rows = pages.select(file, "page_number", F.col("has_directory").alias("r"), F.col("has_prefix").alias("p")).join(left, [file, "page_number"])
     names = {"both_have_directory": "l and r", "right_has_prefix": "p", "right_has_both": "r and p", "left_directory_right_prefix": "l and p"}
     return rows.agg(F.count("*").alias("consecutive_pairs"), *(F.count_if(F.expr(e)).alias(k) for k, e in names.items()))
-
-
-def ordered_map(inputs: DataFrame, job: Callable[[dict], dict], schema: str) -> DataFrame:
-    """job over every row of inputs, which has an input_index: results in input order with `error` null, or the
-    message of a job that failed, whose other columns are null; failures stay with their own row."""
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                try:
-                    out.append({"input_index": row["input_index"], "error": None} | job(row))
-                except Exception as e:  # noqa: BLE001
-                    out.append({"input_index": row["input_index"], "error": str(e)})
-            yield pd.DataFrame(out, columns=["input_index", *columns, "error"])
-
-    return inputs.mapInPandas(run, f"input_index long, {schema}, error string").orderBy("input_index")

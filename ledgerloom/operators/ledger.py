@@ -12,6 +12,8 @@ from ledgerloom.functions.money import wide_sum
 from ledgerloom.operators.gates import bounded_broadcast, require, require_none
 from ledgerloom.operators.hierarchy import hierarchy_violations
 
+#: An amount that has no opposite counts as none, like zero.
+LEAST = -(1 << 63)
 #: What the gates call their findings, in the order in which they are reported.
 CHECKS = (
     "duplicate_account", "self_parent", "unknown_parent", "hierarchy_cycle", "zero_amount", "unknown_account",
@@ -26,15 +28,17 @@ def _finding(check: str, key: Column) -> Column:
 @dataclass
 class Ledger:
     """accounts: schemas.ACCOUNT; postings: schemas.POSTING (columns used: transaction_id, posting_id, account_id,
-    date, signed_minor_units, current_state, source_row); zero_activity: the same without amount, never added to money."""
+    date, signed_minor_units, current_state, source_row); zero_activity: the same without amount, never added to money.
+    Its ids and source rows must not meet those of postings or of each other, and its accounts must be known."""
 
     accounts: DataFrame
     postings: DataFrame
     zero_activity: DataFrame | None = None
     complete: bool = True
 
-    def violations(self, as_of: int | None = None) -> DataFrame:
-        """(rank, check, key) of every broken rule. With as_of also those of the selection through that day.
+    def violations(self, as_of: int | None = None, zero_activity: bool = False) -> DataFrame:
+        """(rank, check, key) of every broken rule. With as_of also those of the selection through that day, and with
+        zero_activity those of the non-monetary rows that are shown by then.
 
         Rows of a posting are dealt to their keys once: its id, its source row and its transaction meet
         in a single shuffle, combined map-side; nothing is sorted.
@@ -43,7 +47,11 @@ class Ledger:
         found = [accounts.select(_finding("duplicate_account", F.col("account_id")).alias("v"))]
         found.append(hierarchy_violations(self.accounts).select(F.struct(F.lit(None).cast("int").alias("rank"), "check", "key").alias("v")))
         known = bounded_broadcast(self.accounts.select(F.col("account_id").alias("known_id")).distinct())
-        rows = self.postings.select("transaction_id", "posting_id", "account_id", "date", "signed_minor_units", "current_state", "source_row")
+        used = ["transaction_id", "posting_id", "account_id", "date", "current_state", "source_row"]
+        rows = self.postings.select(*used, "signed_minor_units", F.lit(False).alias("quiet"))
+        if zero_activity and self.zero_activity is not None and as_of is not None:
+            through = (F.col("date") <= as_of) & F.col("current_state").isin("Current", "Ambiguous")
+            rows = rows.unionByName(self.zero_activity.where(through).select(*used, F.lit(None).cast("bigint").alias("signed_minor_units"), F.lit(True).alias("quiet")))
         rows = rows.join(known, F.col("account_id") == F.col("known_id"), "left")
         one, nil = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
 
@@ -53,13 +61,13 @@ class Ledger:
         tests = [
             dealt("duplicate_posting", "posting_id", one, nil),
             dealt("duplicate_source_row", "source_row", one, nil),
-            F.when(F.col("signed_minor_units") == 0, dealt("zero_amount", "posting_id", one, nil)),
+            F.when(F.col("signed_minor_units").isin(0, LEAST), dealt("zero_amount", "posting_id", one, nil)),
             F.when(F.col("known_id").isNull(), dealt("unknown_account", "posting_id", one, nil)),
         ]
         if as_of is not None:
             through = F.col("date") <= as_of
             tests.append(F.when(through & (F.col("current_state") == "Ambiguous"), dealt("ambiguous_state", "posting_id", one, nil)))
-            tests.append(F.when(through & (F.col("current_state") == "Current"), dealt("unbalanced_transaction", "transaction_id", nil, F.col("signed_minor_units"))))
+            tests.append(F.when(through & ~F.col("quiet") & (F.col("current_state") == "Current"), dealt("unbalanced_transaction", "transaction_id", nil, F.col("signed_minor_units"))))
         each = rows.select(F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("t")).select("t.*")
         sums = each.groupBy("check", "key").agg(F.sum("n").alias("n"), wide_sum(F.col("cents")).alias("cents"))
         twice = F.col("check").isin("duplicate_posting", "duplicate_source_row") & (F.col("n") > 1)
@@ -69,10 +77,10 @@ class Ledger:
         rank = F.array_position(F.array(*map(F.lit, CHECKS)), F.col("check")).cast("int") - 1
         return reduce(DataFrame.unionByName, found).select("v.*").select(rank.alias("rank"), "check", "key")
 
-    def validate(self, as_of: int | None = None) -> Ledger:
+    def validate(self, as_of: int | None = None, zero_activity: bool = False) -> Ledger:
         """Raises the first violation; the ledger itself otherwise."""
         require(self.complete, "incomplete_extraction")
-        require_none(self.violations(as_of))
+        require_none(self.violations(as_of, zero_activity))
         return self
 
     def current(self, as_of: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,7 +108,7 @@ def recover_key(page: bytes, number: int) -> int | None:
 
 
 def adjacent_pairs(pages: DataFrame, file: str, value: str) -> DataFrame:
-    """(before, after, n): values of neighbouring pages of a file."""
-    w = Window.partitionBy(file).orderBy("page_number")
-    rows = pages.select(F.lag(value).over(w).alias("before"), F.col(value).alias("after"), (F.col("page_number") - F.lag("page_number").over(w)).alias("gap"))
-    return rows.where("gap = 1").groupBy("before", "after").agg(F.count("*").alias("n"))
+    """(before, after, n): values of neighbouring pages of a file, met by an equality join on file and page number."""
+    left = pages.select(file, (F.col("page_number") + 1).alias("page_number"), F.col(value).alias("before"))
+    rows = pages.select(file, "page_number", F.col(value).alias("after")).join(left, [file, "page_number"])
+    return rows.groupBy("before", "after").agg(F.count("*").alias("n"))

@@ -122,22 +122,28 @@ def resolve_labels(labels: DataFrame, chart: DataFrame) -> DataFrame:
 def control_sections(unresolved: DataFrame, generated: DataFrame) -> DataFrame:
     """(label, account_id): unresolved sections whose movements are exactly those of one payables account.
 
-    Both: (section or account id as `owner`, date, kind, cents). Sections are compared as multisets by a digest
-    of their sorted counted movements; a section must hold both a bill and a bill payment, and match one account.
+    Both: (section or account id as `owner`, date, kind, cents). A section must hold both a bill and a bill payment, and
+    match one account. Candidates are found by the number and the summed hashes of the counted movements, which
+    combine map-side whatever an owner's size; a candidate stands if both sides' counted movements are the same rows.
     """
+    item = ["date", "kind", "cents"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("owner", *item).agg(F.count("*").alias("n"))
 
     def digests(rows: DataFrame) -> DataFrame:
-        counted = rows.groupBy("owner", "date", "kind", "cents").count()
-        item = F.concat_ws("|", "date", F.coalesce("kind", F.lit("?")), "cents", "count")
-        return counted.groupBy("owner").agg(
-            F.sha2(F.array_join(F.sort_array(F.collect_list(item)), ";"), 256).alias("digest"),
-            F.max((F.col("kind") == "bill").cast("int")).alias("bill"), F.max((F.col("kind") == "bill-pmt-check").cast("int")).alias("paid"),
-            F.bool_and(F.col("kind").isNotNull()).alias("known"),
+        sums = [F.sum(F.xxhash64(F.lit(k), *item, "n").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+        return rows.groupBy("owner").agg(
+            F.count("*").alias("items"), *sums, F.max((F.col("kind") == "bill").cast("int")).alias("bill"),
+            F.max((F.col("kind") == "bill-pmt-check").cast("int")).alias("paid"), F.bool_and(F.col("kind").isNotNull()).alias("known"),
         )
 
-    wanted = digests(unresolved).where("bill = 1 and paid = 1 and known").select(F.col("owner").alias("label"), "digest")
-    accounts = digests(generated).where("known").groupBy("digest").agg(F.count("*").alias("n"), F.min("owner").alias("account_id")).where("n = 1")
-    return wanted.join(accounts, "digest").select("label", "account_id")
+    left, right, key = counted(unresolved), counted(generated), ["items", "s1", "s2"]
+    wanted = digests(left).where("bill = 1 and paid = 1 and known").select(F.col("owner").alias("label"), *key)
+    found = wanted.join(digests(right).where("known").select(F.col("owner").alias("account_id"), *key), key)
+    same = found.join(left.withColumnRenamed("owner", "label"), "label").join(right.withColumnRenamed("owner", "account_id"), ["account_id", *item, "n"])
+    proven = same.groupBy("label", "account_id", "items").agg(F.count("*").alias("met")).where("met = items")
+    return proven.groupBy("label").agg(F.count("*").alias("n"), F.min("account_id").alias("account_id")).where("n = 1").select("label", "account_id")
 
 
 def report_agreement(trial: DataFrame, ledger_rows: DataFrame) -> DataFrame:

@@ -27,6 +27,19 @@ class AccrualPolicy:
         require(found[0] == "equity", "retained_account_not_equity", self.retained_account)
 
 
+def _quiet(ledger: Ledger, as_of: int) -> DataFrame:
+    own = ledger.zero_activity.where((F.col("current_state") == "Current") & (F.col("date") <= as_of))
+    return own.withColumn("signed_minor_units", F.lit(None).cast("bigint"))
+
+
+def zero_activity(ledger: Ledger, as_of: int, validate: bool = True) -> DataFrame:
+    """Only the non-monetary rows in force through as_of, with their accounts."""
+    if validate:
+        ledger.validate(as_of, zero_activity=True)
+    rows = _quiet(ledger, as_of) if ledger.zero_activity is not None else ledger.current(as_of).limit(0)
+    return ledger.with_accounts(rows)
+
+
 def general_ledger(ledger: Ledger, as_of: int, start: int | None = None, validate: bool = True, zero_activity: bool = False) -> DataFrame:
     """Postings through as_of with their accounts, from `start` on if given; order by ORDER for presentation.
 
@@ -34,11 +47,10 @@ def general_ledger(ledger: Ledger, as_of: int, start: int | None = None, validat
     non-monetary rows in force are added with a null amount.
     """
     if validate:
-        ledger.validate(as_of)
+        ledger.validate(as_of, zero_activity)
     rows = ledger.current(as_of)
     if zero_activity and ledger.zero_activity is not None:
-        quiet = ledger.zero_activity.where((F.col("current_state") == "Current") & (F.col("date") <= as_of))
-        rows = rows.unionByName(quiet.withColumn("signed_minor_units", F.lit(None).cast("bigint")), allowMissingColumns=True)
+        rows = rows.unionByName(_quiet(ledger, as_of), allowMissingColumns=True)
     if start is not None:
         rows = rows.where(F.col("date") >= start)
     return ledger.with_accounts(rows)

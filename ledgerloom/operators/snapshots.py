@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.gates import bounded_broadcast
-
 
 def changed_pages(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """keys, before_hash, after_hash of pages that differ; both sides are digests by the time they are shuffled."""
@@ -18,12 +16,26 @@ def transitions(changed: DataFrame, before: str, after: str) -> DataFrame:
     return changed.groupBy(before, after).agg(F.count("*").alias("n"))
 
 
+#: Values of the first ordering column that one task orders together.
+RANGE = 4096
+
+
 def subtract_control(changed: DataFrame, control: DataFrame, order: list[str]) -> DataFrame:
-    """changed without min(observed, control) rows per hash pair, taken off in page order."""
+    """changed without min(observed, control) rows per hash pair, taken off in the order of `order` (the first of it a number).
+
+    A pair that very many pages share, as zeroed pages do, is ranked range by range: rows are numbered inside
+    ranges of the first ordering column, and the ranges before a range count on. Only pairs in the control are ranked.
+    """
     pair = ["before_hash", "after_hash"]
     noise = control.groupBy(*pair).agg(F.count("*").alias("__noise"))
-    ranked = changed.withColumn("__nth", F.row_number().over(Window.partitionBy(*pair).orderBy(*order)))
-    return ranked.join(bounded_broadcast(noise), pair, "left").where("__noise is null or __nth > __noise").drop("__nth", "__noise")
+    rows = changed.join(noise, pair, "left").withColumn("__range", F.floor(F.col(order[0]) / RANGE))
+    kept, noisy = rows.where("__noise is null"), rows.where("__noise is not null")
+    sizes = noisy.groupBy(*pair, "__range").agg(F.count("*").alias("__rows"))
+    ahead = Window.partitionBy(*pair).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).drop("__rows")
+    nth = F.row_number().over(Window.partitionBy(*pair, "__range").orderBy(*order)) + F.col("__ahead")
+    left = noisy.join(offsets, [*pair, "__range"]).withColumn("__nth", nth).where("__nth > __noise")
+    return kept.select(*changed.columns).unionByName(left.select(*changed.columns))
 
 
 def occurrences(text: Column, marker: Column) -> Column:
@@ -53,6 +65,16 @@ def removed_markers(before: DataFrame, after: DataFrame, key: str, text: str, ma
 
 
 def carry_forward(rows: DataFrame, partition: list[str], order: list[str], heading: Column, name: str) -> DataFrame:
-    """rows with the last heading at or before them in their group."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(heading, ignorenulls=True).over(w))
+    """rows with the last heading at or before them in their group, ordered by `order` (the first of it a number).
+
+    Rows are ordered inside ranges of the first ordering column; a range without a heading of its own takes the last
+    one of the ranges before it, so a group of any size is dealt over many tasks.
+    """
+    rows = rows.withColumns({"__own": heading, "__range": F.floor(F.col(order[0]) / RANGE)})
+    inside = Window.partitionBy(*partition, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.where("__own is not null").groupBy(*partition, "__range").agg(F.max_by("__own", F.struct(*order)).alias("__last"))
+    ranges = rows.select(*partition, "__range").distinct().join(last, [*partition, "__range"], "left")
+    before = Window.partitionBy(*partition).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    lead = ranges.withColumn("__lead", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+    found = rows.withColumn("__in", F.last("__own", ignorenulls=True).over(inside)).join(lead, [*partition, "__range"])
+    return found.withColumn(name, F.coalesce("__in", "__lead")).drop("__own", "__range", "__in", "__lead")

@@ -11,9 +11,9 @@ from ledgerloom.operators.gates import LedgerError
 from ledgerloom.operators.reports import AccrualPolicy
 from ledgerloom.sinks import reports as sinks
 from ledgerloom.sources import native, text
-from tests.test_ledger import book, chart  # noqa: F401
+from tests.test_ledger import END, START, book  # noqa: F401
 
-META = sinks.Metadata("acme", 120, "books.bin", "1", "2024-01-01T00:00:00Z")
+META = sinks.Metadata("acme", END, "books.bin", "1", "2024-01-01T00:00:00Z")
 
 
 def test_csv_records():
@@ -100,14 +100,14 @@ def test_xml_oracle(spark, tmp_path):
 
 def test_trial_balance_round_trip(book, tmp_path):  # noqa: F811
     names = hierarchy.names(book.accounts)
-    report = reports.trial_balance(book, 120, AccrualPolicy(100, "retained"))
-    policy = {"source": "native", "as_of": 120, "fiscal_year_start": 100, "retained_earnings_account_id": "retained", "retained_earnings_report_name": "Kept"}
+    report = reports.trial_balance(book, END, AccrualPolicy(START, "kept"))
+    policy = {"source": "native", "as_of": END, "fiscal_year_start": START, "retained_earnings_account_id": "kept", "retained_earnings_report_name": "Held over"}
     file = sinks.trial_balance_file(report, names, META, policy)
     assert file.columns == sinks.TRIAL_BALANCE and len(file.columns) == 26
     target = tmp_path / "tb.csv"
     sinks.publish(sinks.csv_lines(file), str(target))
     back = dict(native.any_trial_balance_rows(target.read_bytes()))
-    assert back["Kept"] == {r.account_id: r.net_cents for r in report.collect()}["retained"] and sum(back.values()) == 0
+    assert back["Held over"] == {r.account_id: r.net_cents for r in report.collect()}["kept"] and sum(back.values()) == 0
     with pytest.raises(LedgerError, match="target_exists"):
         sinks.publish(iter(["x"]), str(target))
     with pytest.raises(LedgerError, match="target_is_an_input"):
@@ -126,17 +126,17 @@ def test_trial_balance_round_trip(book, tmp_path):  # noqa: F811
 
 def test_other_files(book, tmp_path):  # noqa: F811
     names = hierarchy.names(book.accounts)
-    gl = sinks.general_ledger_file(reports.general_ledger(book, 120), names, META)
+    gl = sinks.general_ledger_file(reports.general_ledger(book, END), names, META)
     rows = gl.collect()
     assert gl.columns == sinks.GENERAL_LEDGER and len(gl.columns) == 30 and [r.posting_day for r in rows] == sorted(r.posting_day for r in rows)
     doc = json.loads("".join(sinks.json_document(gl, META)))
-    assert doc["entity_id"] == "acme" and len(doc["rows"]) == len(rows) and doc["rows"][0]["credit"] == "100.00"
-    pnl = statements.profit_and_loss(book, 100, 120, validate=False)
+    assert doc["entity_id"] == "acme" and len(doc["rows"]) == len(rows) and doc["rows"][0]["credit"] == "750.00"
+    pnl = statements.profit_and_loss(book, START, END, validate=False)
     shape = book.accounts.drop("account_name").join(names, "account_id").select("account_id", "account_number", "account_full_name", "account_display_name", "account_type", "classification", "activity")
-    file = sinks.statement_file(pnl, shape, META, "profit_and_loss", 100)
+    file = sinks.statement_file(pnl, shape, META, "profit_and_loss", START)
     assert file.columns == sinks.STATEMENT and len(file.columns) == 31 and file.count() == pnl.count()
     with pytest.raises(LedgerError, match="statement_policy"):
-        sinks.statement_file(pnl, shape, META, "profit_and_loss", 100, {})
+        sinks.statement_file(pnl, shape, META, "profit_and_loss", START, {})
     db = str(tmp_path / "out.db")
     for _ in range(2):
         sinks.write_sqlite(gl, db, "general_ledger")
@@ -144,10 +144,10 @@ def test_other_files(book, tmp_path):  # noqa: F811
     for _ in range(2):
         sinks.replace_parquet(gl, str(tmp_path / "gl"))
     assert gl.sparkSession.read.parquet(str(tmp_path / "gl")).count() == len(rows)
-    trial = reports.trial_balance(book, 120, validate=False)
-    sinks.validate_bundle(trial, book.current(120))
+    trial = reports.trial_balance(book, END, validate=False)
+    sinks.validate_bundle(trial, book.current(END))
     with pytest.raises(LedgerError, match="trial_balance_disagrees"):
-        sinks.validate_bundle(trial, book.current(119))
+        sinks.validate_bundle(trial, book.current(END - 1))
     with pytest.raises(LedgerError, match="blank_metadata"):
         sinks.Metadata(" ", 1, "x", "1", "t").validate()
 
