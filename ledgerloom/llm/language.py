@@ -5,6 +5,12 @@ machines tell the languages of that family apart. Features are relative counts
 of hashed byte trigrams around letters, so a text of any length is scored by one
 lookup and one sum per trigram, in Arrow batches, where it is read.
 
+Beside the language a text gets its familiarity: the share of its trigrams that the
+labelled rows have. Machines must choose one of the languages they know; familiarity tells
+texts of none of them, and letters without any. The bound under which a text is rejected
+is fixed on labelled rows: half of them against the trigrams of the other half, beside the same
+texts with their letters shuffled.
+
 The model is fitted on a sample of labelled rows whose size is bounded by
 `sample_rows`; only sparse trigram counts of that sample reach the driver.
 """
@@ -41,6 +47,12 @@ PIECE, SLICE = 1 << 18, 1 << 20
 SAMPLE_ROWS = 1600
 #: Pieces of so many bytes of each sampled text are trained on too, so that short texts are at home in the model.
 SHORT = 120
+#: Bits of a trigram in the table of familiar ones, and trigrams below which a text is too short to be unfamiliar.
+KNOWN_BITS, LEAST_TRIGRAMS = 20, 24
+#: One sampled text in so many is shuffled.
+NOISE = 4
+#: The share of labelled texts whose familiarity may lie under the bound, and of shuffled ones that may lie above theirs.
+TAIL = 0.002
 #: ASCII other than letters is a boundary.
 _ASCII = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -50,11 +62,19 @@ def family_of(lang: str) -> str:
 
 
 def trigrams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of each byte trigram with a letter in its middle; blob: UTF-8 of lower-case text."""
+    """(place, hash of 32 bits) of each byte trigram with a letter in its middle; blob: UTF-8 of lower-case text."""
     raw = np.frombuffer(blob.translate(_ASCII), np.uint8)
     place = np.flatnonzero(raw[1:-1] != 32) + 1
     code = (raw[place - 1].astype(np.uint32) << 16) | (raw[place].astype(np.uint32) << 8) | raw[place + 1]
-    return place, (code * np.uint32(2654435761)) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)
+    return place, code * np.uint32(2654435761)
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint32(32 - DIMENSIONS.bit_length() + 1)
+
+
+def known_place(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint32(32 - KNOWN_BITS)
 
 
 def _blob(text: str) -> bytes:
@@ -62,7 +82,22 @@ def _blob(text: str) -> bytes:
 
 
 def counts(blob: bytes) -> np.ndarray:
-    return np.bincount(trigrams(blob)[1], minlength=DIMENSIONS) if len(blob) > 2 else np.zeros(DIMENSIONS, np.int64)
+    return np.bincount(bucket(trigrams(blob)[1]), minlength=DIMENSIONS) if len(blob) > 2 else np.zeros(DIMENSIONS, np.int64)
+
+
+def shuffled(text: str) -> str:
+    """The text with its letters in another order, each word as long as before."""
+    at = [i for i, ch in enumerate(text) if ch.isalpha()]
+    out, order = list(text), np.random.default_rng(len(at)).permutation(len(at))
+    for i, j in zip(at, order.tolist(), strict=True):
+        out[i] = text[at[j]]
+    return "".join(out)
+
+
+def places_of(text: str) -> np.ndarray:
+    """The distinct places of a text's trigrams in the table of familiar ones."""
+    blob = _blob(text)
+    return np.unique(known_place(trigrams(blob)[1])) if len(blob) > 2 else np.zeros(0, np.uint32)
 
 
 @dataclass
@@ -142,6 +177,9 @@ def fit_machines(x: np.ndarray, labels: np.ndarray) -> Machines:
 class Model:
     families: Machines | None = None
     within: dict[str, Machines] = field(default_factory=dict)
+    known: np.ndarray = field(default_factory=lambda: np.zeros(1 << KNOWN_BITS, bool))
+    #: Texts of lower familiarity are in none of the languages.
+    bound: float = 0.0
 
     def parts(self) -> list[Machines]:
         return [self.families, *self.within.values()] if self.families else []
@@ -167,24 +205,52 @@ class Model:
         return out, np.clip(score, 0, 1)
 
 
-Sample = list[tuple[str, np.ndarray, np.ndarray]]
+#: language, trigram buckets, their counts, and of a whole text the places of its trigrams and, of one in NOISE, of those of its shuffled letters.
+Sample = list[tuple[str, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]
+
+
+def familiar_bound(texts: list[tuple[np.ndarray, np.ndarray | None]]) -> float:
+    """Halfway between the familiarity of labelled texts and of shuffled ones, each against the other half's trigrams.
+
+    Here distinct trigrams count once each, which puts the labelled texts a little lower than scoring does. The lowest TAIL of the labelled texts and the highest TAIL of the shuffled ones are left aside; the bound is never above
+    the labelled texts' end, so it rejects next to none of them.
+    """
+    long = [(a, b) for a, b in texts if len(a) >= LEAST_TRIGRAMS]
+    if len(long) < 4:
+        return 0.0
+    good, noise = [], []
+    for half in (0, 1):
+        known = np.zeros(1 << KNOWN_BITS, bool)
+        for a, _ in long[1 - half :: 2]:
+            known[a] = True
+        for a, b in long[half::2]:
+            good.append(known[a].mean())
+            if b is not None and len(b):
+                noise.append(known[b].mean())
+    if not noise:
+        return 0.0
+    low, high = float(np.quantile(good, TAIL)), float(np.quantile(noise, 1 - TAIL))
+    return (low + min(low, high)) / 2
 
 
 def fit(rows: Sample) -> Model:
-    """rows: (language, trigram buckets, their counts)."""
+    """The model of sampled rows."""
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return Model()
     langs = np.array([r[0] for r in rows], object)
     x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for i, (_, at, n) in enumerate(rows):
+    for i, (_, at, n, *_) in enumerate(rows):
         x[i, at] = n / n.sum()
     mean, square = x.mean(axis=0), np.einsum("ij,ij->j", x, x) / len(x)
     scale = 1 / np.sqrt(mean + 1e-5)  # rare trigrams count for more; folded into the weights below
     scale /= np.sqrt((np.maximum(0, square - mean**2) * scale**2).sum() + 1e-12) + 1e-6
     x *= scale
     family = np.array([family_of(lang) for lang in langs], object)
-    model = Model(fit_machines(x, family))
+    whole = [(r[3], r[4]) for r in rows if r[3] is not None]
+    model = Model(fit_machines(x, family), bound=familiar_bound(whole))
+    for places, _ in whole:
+        model.known[places] = True
     for name in model.families.classes:
         model.within[name] = fit_machines(x[family == name], langs[family == name])
     for m in model.parts():
@@ -193,79 +259,99 @@ def fit(rows: Sample) -> Model:
 
 
 def sample_counts(df: DataFrame, text: str, lang: str, id_col: str, sample_rows: int = SAMPLE_ROWS) -> Sample:
-    """Trigram counts of a sample of labelled rows: about equally many of each language, sample_rows at most.
+    """Trigram counts of a sample of labelled rows: about equally many of each language, sample_rows of them in all.
 
-    A row is drawn if a hash of its id falls under its language's rate, so copies of one text are not
-    drawn together. Each gives the counts of its whole text and of two short pieces of it.
+    A row is drawn if a hash of its id falls under its language's rate, so copies of one text are not drawn together. Each
+    gives the counts of its whole text and of two short pieces of it. Ids that repeat may draw more rows than meant;
+    beyond twice as many the rates are halved until they do not, the same way every time. More languages than
+    sample_rows raise.
     """
     own = df.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     own = own.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)).alias("__u"))
-    sizes = {r[0]: r[1] for r in own.groupBy("__lang").count().limit(sample_rows).collect()}
+    sizes = {r[0]: r[1] for r in own.groupBy("__lang").count().limit(sample_rows + 1).collect()}
+    if len(sizes) > sample_rows:
+        raise ValueError("more languages than rows to sample")
     if not sizes:
         return []
     each = max(1, sample_rows // len(sizes))
-    rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, each / n) * (1 << 30))))))
-    drawn = own.where(F.col("__u") < F.try_element_at(rate, F.col("__lang"))).select("__lang", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, packed = [], []
+            made: dict[str, list] = {"lang": [], "packed": [], "places": [], "noise": []}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blob = _blob(text)
                 third = len(blob) // 3
-                for piece in (blob, blob[third : third + SHORT], blob[2 * third : 2 * third + SHORT // 3]):
+                for i, piece in enumerate((blob, blob[third : third + SHORT], blob[2 * third : 2 * third + SHORT // 3])):
                     c = counts(piece)
                     at = np.flatnonzero(c)
-                    langs.append(lang)
-                    packed.append(np.stack((at, c[at])).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "packed"])
-
+                    made["lang"].append(lang)
+                    made["packed"].append(np.stack((at, c[at])).astype("<u4").tobytes())
+                    made["places"].append(places_of(text).astype("<u4").tobytes() if i == 0 else None)
+                    made["noise"].append(places_of(shuffled(text)).astype("<u4").tobytes() if i == 0 and len(blob) % NOISE == 0 else None)
+            yield pa.RecordBatch.from_arrays([pa.array(made["lang"], pa.string()), *(pa.array(made[c], pa.binary()) for c in ("packed", "places", "noise"))], names=list(made))
+
+    share = 1.0
+    while True:
+        rate = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(share * min(1.0, each / n) * (1 << 30))))))
+        drawn = own.where(F.col("__u") < F.try_element_at(rate, F.col("__lang"))).select("__lang", "__text")
+        found = drawn.mapInArrow(run, "lang string, packed binary, places binary, noise binary").limit(3 * 2 * sample_rows + 1).collect()
+        if len(found) <= 3 * 2 * sample_rows:
+            break
+        share /= 2
+    read = lambda x: None if x is None else np.frombuffer(x, "<u4").astype(np.int64)
     out = []
-    for lang, packed in sorted(map(tuple, drawn.mapInArrow(run, "lang string, packed binary").limit(3 * 2 * sample_rows).collect())):
+    for lang, packed, places, noise in sorted(map(tuple, found), key=lambda r: (r[0], bytes(r[1]))):
         at, n = np.frombuffer(packed, "<u4").reshape(2, -1)
-        out.append((lang, at.astype(np.int64), n.astype(np.float32)))
+        out.append((lang, at.astype(np.int64), n.astype(np.float32), read(places), read(noise)))
     return out
 
 
-def sums(blobs: list[bytes], table: np.ndarray) -> np.ndarray:
-    """The mean table row over each text's trigrams (zeros for none)."""
-    out, seen = np.zeros((len(blobs), table.shape[1])), np.zeros(len(blobs))
+def sums(blobs: list[bytes], table: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean table row over each text's trigrams (zeros for none), and the share of them that is known (1 for few)."""
+    width = table.shape[1]
+    out, seen = np.zeros((len(blobs), width + 1)), np.zeros(len(blobs))
     start = 0
     while start < len(blobs):
         if len(blobs[start]) > PIECE:  # a long text is scored piecewise; neighbours share two bytes
             for at in range(0, len(blobs[start]) - 2, PIECE):
-                _, code = trigrams(blobs[start][at : at + PIECE + 2])
-                out[start] += table[code].sum(axis=0, dtype=np.float64)
-                seen[start] += len(code)
+                _, hashes = trigrams(blobs[start][at : at + PIECE + 2])
+                out[start, :width] += table[bucket(hashes)].sum(axis=0, dtype=np.float64)
+                out[start, width] += known[known_place(hashes)].sum()
+                seen[start] += len(hashes)
             start += 1
             continue
         end, size = start, 0
         while end < len(blobs) and size + len(blobs[end]) <= PIECE:
             size += len(blobs[end])
             end += 1
-        place, code = trigrams(b"".join(blobs[start:end]))
+        place, hashes = trigrams(b"".join(blobs[start:end]))
         edges = np.searchsorted(place, np.cumsum([0, *map(len, blobs[start:end])]))
         n = np.diff(edges)
         full = np.flatnonzero(n)
         if len(full):
-            rows = table[code]
-            for c in range(table.shape[1]):
+            rows = table[bucket(hashes)]
+            for c in range(width):
                 out[start + full, c] = np.add.reduceat(rows[:, c].astype(np.float64), edges[:-1][full])
+            out[start + full, width] = np.add.reduceat(known[known_place(hashes)].astype(np.int64), edges[:-1][full])
         seen[start:end] = n
         start = end
-    return out / np.maximum(seen, 1)[:, None]
+    out /= np.maximum(seen, 1)[:, None]
+    return out[:, :width], np.where(seen < LEAST_TRIGRAMS, 1.0, out[:, width])
 
 
 def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of df with lang_pred (string) and score (double, 0 to 1).
+    """The columns `keep` of df with lang_pred (string), score and familiar (double, 0 to 1).
 
-    Texts that are null or hold no letter get `und` and 0; so do all if nothing could be learned.
-    Rows are scored where they are read; other columns of df are not looked at.
+    Texts that are null or hold no letter get `und`, 0 and 0; so do all if nothing could be learned. familiar is 1 for
+    texts of fewer than LEAST_TRIGRAMS trigrams, which are too short to tell. Columns of keep that bear these names are
+    replaced. Texts of any length are scored whole, rows where they are read, repeated rows each; a tie of votes goes to the
+    larger sum of margins, then to the first in alphabetical order. An empty table gives an empty result.
     """
     lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-    kept = df.select(*(F.col(c) for c in keep), F.when(lettered, F.col(text)).cast("string").alias("__text"))
-    fields = [*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    table = model.table()
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType(), "familiar": T.DoubleType()}
+    kept = df.select(*(F.col(c) for c in keep if c not in made), F.when(lettered, F.col(text)).cast("string").alias("__text"))
+    fields = [*kept.schema.fields[:-1], *(T.StructField(c, t) for c, t in made.items())]
+    table, known = model.table(), model.known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +360,12 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 part = batch.slice(start, rows)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 has = np.array([t is not None for t in texts], bool)
-                langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-                if has.any():
-                    langs[has], scores[has] = model.predict(sums([_blob(t) for t in texts if t is not None], table))
-                made = [pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[f.name for f in fields])
+                langs, scores, shares = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
+                if has.any() and model.families:
+                    means, shares[has] = sums([_blob(t) for t in texts if t is not None], table, known)
+                    langs[has], scores[has] = model.predict(means)
+                found = [pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=[f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))
 

@@ -2,10 +2,11 @@
 
 1. Fingerprints: one pass over the texts where they lie; only (id, fingerprint) leaves the tasks.
 2. Equal fingerprints collapse to one row (map-side combined), so copies of a text cost nothing more.
-3. Two fingerprints at most three bits apart agree on one of four 16-bit blocks. Each distinct
-   fingerprint goes to one bucket per block, chosen by that block's value; the number of buckets
-   follows the number of fingerprints. A bucket that is still large is dealt into chunks, and each
-   pair of chunks is one task: exact, whatever the skew.
+3. Two fingerprints at most three bits apart agree on all but three of any blocks their bits are cut
+   into: on one of four 16-bit blocks, on two of five, on three of six. Each distinct fingerprint goes to one
+   bucket for every such choice, by the bits of the chosen blocks; blocks and buckets follow the number of
+   fingerprints, so buckets stay small at any size. A bucket that is still large is dealt into chunks, and
+   each pair of chunks is one task: exact, whatever the skew.
 4. In a task the fingerprints are sorted by Gray rank and indexed as a tree: a node keeps the mask
    and the pattern of the bits that all below it share and that no upper node holds. A search adds
    up the differences on the way down and drops a whole group once they exceed the radius.
@@ -14,14 +15,15 @@
    components by alternating large-star and small-star steps.
 
 The pipeline's stage asks for more than three bits can hold: pairs whose sets of five-word shingles have a
-Jaccard similarity of 0.8 differ by about ten bits. `drop_near_duplicates` therefore takes its candidates
-from MinHash bands and confirms each by the exact sets; the components are joined as above.
+Jaccard similarity of 0.8 differ by about ten bits. `drop_near_duplicates` therefore takes its candidates first
+from this index, over fingerprints of five-word shingles, and then, for the pairs beyond three bits, from MinHash
+bands. Every candidate is confirmed by the exact sets; the components are joined as above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, small
 
-RADIUS, BLOCKS, BLOCK_BITS = 3, 4, 16
+RADIUS = 3
+#: Most fingerprints for which they are cut into so many blocks; beyond the last, into one more. All give the same links.
+BLOCKS = ((4, 1 << 27), (5, 1 << 37), (6, 1 << 63))
+#: A fingerprint with more than this share of all rows is hot; there are fewer than 1 / HOT of them.
+HOT = 1 / 4096
 #: Children of an index node.
 FAN = 16
 #: Distinct fingerprints aimed at in a bucket, and from which a bucket is dealt into chunks.
@@ -48,27 +54,36 @@ BANDS, BAND_ROWS = 20, 4
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles: ASCII letters lower-cased, words between ASCII
-    white space, repeated shingles counted each; a shorter sequence is one shingle; no word gives 0."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
+def _words(text: str | None) -> list[bytes]:
+    """ASCII letters lower-cased, words between ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles in order, repeats included, some at a time; a shorter sequence is one shingle."""
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = [0, *accumulate(len(w) + 1 for w in words)]
     width = min(width, len(words))
-    count, total = len(words) - width + 1, np.zeros(64, np.int64)
-    spans = list(zip(starts[:count].tolist(), ends[width - 1 :].tolist(), strict=True))
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, count, SHINGLES):
-        part = spans[at : at + SHINGLES]
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in part), np.uint64, len(part))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
+    for at in range(0, len(words) - width + 1 if words else 0, SHINGLES):
+        some = zip(ends[at : at + SHINGLES], ends[at + width : at + width + SHINGLES], strict=False)
+        yield np.fromiter((digest(joined[a : b - 1], SEED) for a, b in some), np.uint64)
+
+
+def majority(parts: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    """The SimHash of shingle hashes, as a signed number: bits that are set in over half of them; none gives 0."""
+    total, count = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        count += len(hashes)
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles: ASCII letters lower-cased, words between ASCII
+    white space, repeated shingles counted each; a shorter sequence is one shingle; no word gives 0."""
+    return majority(shingle_hashes(_words(text), width))
+
+
 def fingerprints(df: DataFrame, keep: list[str], text: str = "text", width: int = 3) -> DataFrame:
     """The columns `keep` of df with fp (long, the 64 bits). A null text counts as empty: 0."""
     kept = df.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).cast("string").alias("__text"))
@@ -168,19 +183,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def agreements(blocks: int, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(mask, turn) for each choice of blocks on which two codes at most radius bits apart may agree: the blocks' bits, and
+    how far left the codes are rotated to begin with them."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]  # from the highest bit
+    block = [((1 << (b - a)) - 1) << (64 - b) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(sum(block[i] for i in chosen), edges[chosen[0]]) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Links (a, b), a > b as unsigned numbers, whose components are those of all pairs of the distinct
-    non-null `fp` of fps at most radius (3 or fewer) bits apart. Materialised."""
-    if not 0 <= radius < BLOCKS:
-        raise ValueError("four blocks find pairs that differ in three bits at most")
+    non-null `fp` of fps at most radius (3 or fewer) bits apart. Materialised. blocks: 4 or more, by default as many as
+    the number of fingerprints asks for; the links do not depend on it.
+    """
+    if not 0 <= radius <= RADIUS:
+        raise ValueError("the blocks find pairs that differ in three bits at most")
     count = fps.count()
-    n = max(1, min(1 << BLOCK_BITS, 1 << max(0, (count // BUCKET)).bit_length()))
-    block = F.expr(f"shiftrightunsigned(shiftleft(fp, block * {BLOCK_BITS}), {64 - BLOCK_BITS})")
-    dealt = fps.select("fp", F.explode(F.array(*(F.lit(i) for i in range(BLOCKS)))).alias("block"))
-    dealt = dealt.withColumn("bucket", (F.col("block") * n + F.pmod(F.xxhash64(block), F.lit(n))).cast("long"))
+    blocks = blocks or next(b for b, most in BLOCKS if count <= most)
+    choices = agreements(blocks)
+    n = 1 << max(0, (count // BUCKET)).bit_length()
+    masks, turns = F.array(*(F.lit(_long(m)) for m, _ in choices)), [t for _, t in choices]
+    dealt = fps.select("fp", F.posexplode(masks).alias("block", "mask"))
+    value = F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), F.col("block"))
+    dealt = dealt.select("fp", "block", (F.col("block").cast("long") * n + F.pmod(value, F.lit(n))).alias("bucket"))
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("rows"))
     large = sizes.where(F.col("rows") > CHUNK).select("bucket", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    dealt = dealt.join(large, "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.join(small(cut(large), 16), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int"))
     other = F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")
     dealt = dealt.select("fp", "block", "bucket", "chunk", other).select(
@@ -192,7 +220,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         left, right = fp[chunk == i], (fp[chunk == j] if i != j else None)
         if not len(left) or right is not None and not len(right):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        a, b = local_links(left, right, int(pdf["block"].iat[0]) * BLOCK_BITS, radius)
+        a, b = local_links(left, right, turns[int(pdf["block"].iat[0])], radius)
         return pd.DataFrame({"a": _signed(a), "b": _signed(b)})
 
     return cut(dealt.groupBy("bucket", "i", "j").applyInPandas(search, "a long, b long").distinct())
@@ -231,25 +259,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     An empty table gives an empty result. Other columns of df are not looked at.
     """
     marked = cut(fingerprints(df, [id_col], text, width))
-    groups = cut(marked.groupBy("fp").agg(F.min(id_col).alias("own")))
+    groups = cut(marked.groupBy("fp").agg(F.min(id_col).alias("own"), F.count("*").alias("rows")))
     roots = components(links(groups.select("fp"), radius))
     linked = groups.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("own").alias("least"))
-    named = cut(linked.join(least, "root").select("fp", "least"))
-    table = groups.join(named, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id"))
-    return marked.join(table, "fp").select(id_col, "fp", "component_id")
+    named = linked.join(least, "root").select("fp", "least")
+    table = cut(groups.join(named, "fp", "left").select("fp", "rows", F.coalesce("least", "own").alias("component_id")))
+    # rows of a hot fingerprint stay where they are: fewer than 1 / HOT fingerprints are broadcast; no other holds more rows
+    edge = F.lit(max(1.0, HOT * (groups.agg(F.sum("rows")).first()[0] or 0)))
+    hot, rest = F.broadcast(table.where(F.col("rows") > edge).drop("rows")), table.where(F.col("rows") <= edge).drop("rows")
+    cold = marked.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp")
+    return marked.join(hot, "fp").unionByName(cold).select(id_col, "fp", "component_id")
 
 
 def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted: words as in `fingerprint`; a shorter sequence is one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(accumulate(len(w) + 1 for w in words))
-    width = min(width, len(words))
-    starts = [0, *ends]
-    return np.unique(np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)), np.uint64))
+    """The distinct hashes of a text's word shingles, sorted; a shorter sequence is one shingle, no word none."""
+    parts = list(shingle_hashes(_words(text), width))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -275,84 +301,122 @@ def _long(x: int) -> int:
 
 
 def _banded(df: DataFrame, text: str) -> DataFrame:
-    """The other columns of df with node (long, the hash of the text's shingle set) and bands (array<long>)."""
+    """The other columns of df with, of the text's five-word shingles, node (long, the hash of their set), fp (long, their
+    SimHash) and bands (array<long>)."""
     rest = [c for c in df.columns if c != text]
     kept = df.select(*rest, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    fields = [*kept.schema.fields[:-1], T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    made = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [*kept.schema.fields[:-1], *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, bands = [], []
+            nodes, fps, bands = [], [], []
             for x in batch.column(batch.num_columns - 1):
-                hashes = shingle_set(x.as_py())
+                parts = list(shingle_hashes(_words(x.as_py()), STAGE_WIDTH))
+                hashes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
                 nodes.append(_long(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                fps.append(majority(parts))
                 bands.append([_long(k) for k in band_keys(hashes)])
-            columns = [*batch.columns[:-1], pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            columns = [*batch.columns[:-1], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts, by (node, text), have at least so large a Jaccard similarity. Materialised."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = cut(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have at least so large a Jaccard similarity. Materialised.
+
+    texts_of: (node, text) of the nodes of a frame; only texts that stand in a pair are moved.
+    """
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    texts = texts_of(wanted)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of_hub = None, shingle_set(None)
         for batch in batches:
-            s, t = batch.column(2), batch.column(3)
-            good = [jaccard(shingle_set(x.as_py()), shingle_set(y.as_py())) >= least for x, y in zip(s, t, strict=True)]
+            good = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != hub:  # rows come sorted by b
+                    hub, of_hub = b, shingle_set(y.as_py())
+                good.append(jaccard(shingle_set(x.as_py()), of_hub) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return cut(both.mapInArrow(run, "a long, b long"))
 
 
-def jaccard_components(marked: DataFrame, texts: DataFrame, least: float = STAGE_JACCARD) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def jaccard_components(marked: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = STAGE_JACCARD) -> DataFrame:
     """(node, root) of the nodes linked over pairs of at least so large a Jaccard similarity; nodes without a link are left out.
 
-    marked: (node, bands), one row each; texts: (node, text), of which only nodes with a candidate are read. First every node is compared with the least node of each
-    of its buckets, one for a band; then, in the buckets that still hold several components, all pairs across these.
+    marked: (node, fp, bands), one row each. Candidates are tested in turns, so that few texts are compared: first those that
+    the index over fp links; then each node with one other node of its buckets, one bucket for a band; then with the least
+    node of each bucket; at last all pairs in buckets that still hold several components, across these. A pair is tested once.
     """
-    members = cut(marked.select("node", F.posexplode("bands").alias("band", "key")))
-    least_node = members.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = members.join(least_node, ["band", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    links = _confirmed(cut(stars), texts, least)
-    roots = components(links)
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    rooted = cut(rooted.join(mixed, ["band", "key"], "left_semi"))
-    sides = rooted.select("band", "key", "root").distinct()
-    across = sides.withColumnRenamed("root", "x").join(sides.withColumnRenamed("root", "y"), ["band", "key"]).where("x < y")
-    one = rooted.select("band", "key", F.col("root").alias("x"), F.col("node").alias("a"))
-    two = rooted.select("band", "key", F.col("root").alias("y"), F.col("node").alias("b"))
-    pairs = across.join(one, ["band", "key", "x"]).join(two, ["band", "key", "y"]).select("a", "b")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return components(links.union(_confirmed(cut(pairs), texts, least)))
+    alike = marked.groupBy("fp").agg(F.min("node").alias("b"))
+    same = marked.join(alike, "fp").select(F.col("node").alias("a"), "b")
+    near = links(marked.select("fp").distinct()).select(F.col("a").alias("fp"), F.col("b").alias("fp2"))
+    near = near.join(alike.withColumnRenamed("b", "a"), "fp").join(alike.select(F.col("fp").alias("fp2"), "b"), "fp2").select("a", "b")
+    tested = cut(_ordered(same.union(near)))
+    found = _confirmed(tested, texts_of, least)
+
+    members = marked.select("node", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = cut(members.join(shared, "key", "left_semi"))  # the others can have no partner
+    for turn in range(3):
+        roots = components(found)
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rooted.groupBy("key").agg(F.min(F.struct("root", "node")).alias("hub"), F.max("root").alias("high")).where("hub.root < high")
+        members = cut(rooted.join(mixed.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.node").alias("hub")), "key"))
+        if members.isEmpty():
+            return roots
+        if turn < 2:
+            pairs = members.where("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs
+        else:
+            sides = members.select("key", "root").distinct()
+            across = sides.withColumnRenamed("root", "x").join(sides.withColumnRenamed("root", "y"), "key").where("x < y")
+            one = members.select("key", F.col("root").alias("x"), F.col("node").alias("a"))
+            two = members.select("key", F.col("root").alias("y"), F.col("node").alias("b"))
+            pairs = across.join(one, ["key", "x"]).join(two, ["key", "y"]).select("a", "b")
+        new = cut(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(new)
+        found = found.union(_confirmed(new, texts_of, least))
+        members = members.select("key", "node")
+    return components(found)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = STAGE_JACCARD) -> DataFrame:
     """One row of each group of near copies, all columns as they are: the one with the least id.
 
     Near copies are linked over pairs whose sets of STAGE_WIDTH-word shingles have a Jaccard similarity of
-    at least `least`; candidates share one of BANDS MinHash bands and are confirmed by their exact sets.
-    A null id comes after all others and means nothing: rows are told apart by two hashes of all columns, the
-    lesser of which settles ties of the id. An id may stand in several groups; each keeps its own row.
+    at least `least`; candidates come from the SimHash index and from BANDS MinHash bands and are confirmed by their exact
+    sets. A null id comes after all others and means nothing: rows are told apart by two hashes of all columns, the
+    lesser of which settles ties of the id. An id may stand in several groups; each keeps its own row. Texts without a word
+    are one group. An empty table gives an empty result.
     """
-    values = [*(F.col(c) for c in df.columns), F.concat(*(F.col(c).isNull().cast("string") for c in df.columns))]
+    values = [*(F.col(f"`{c}`") for c in df.columns), F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in df.columns))]
     marks = {f"__h{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)}
     rows = df.withColumns(marks)
     marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t")), "__t"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
-    groups = cut(marked.groupBy("node").agg(first, F.first("bands").alias("bands")))
-    owners = groups.select("node", *(F.col(f"own.{m}").alias(m) for m in marks))
-    texts = rows.select(*marks, F.col(text).alias("text")).join(owners, [*marks]).select("node", "text")
-    roots = cut(jaccard_components(groups.select("node", "bands"), texts, least))
+    groups = cut(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        owners = cut(groups.join(nodes, "node", "left_semi").select("node", *(F.col(f"own.{m}").alias(m) for m in marks)))
+        once = rows.select(*marks, F.col(text).alias("text")).join(small(owners, 32), [*marks]).select("node", "text")
+        return once.dropDuplicates(["node"])
+
+    roots = jaccard_components(groups.select("node", "fp", "bands"), texts_of, least)
     named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("own")).select(*(F.col(f"own.{m}").alias(m) for m in marks))
-    stay = cut(marked.join(best, [*marks]).groupBy(*marks).agg(F.count("*").alias("__rows")))
-    once = rows.join(stay.where("__rows = 1"), [*marks], "left_semi")
-    if not (more := stay.where("__rows > 1")).isEmpty():
-        once = once.unionByName(rows.join(more, [*marks], "left_semi").dropDuplicates([*marks]))
-    return once.select(*df.columns)
+    each = marked.groupBy(*marks).agg(F.count("*").alias("__rows")).join(best.withColumn("__best", F.lit(True)), [*marks], "left")
+    each = cut(each.where("__best is null or __rows > 1"))  # all other rows stay as they are
+    stay = rows.join(small(each.select(*marks), 32), [*marks], "left_anti")
+    if not (more := each.where("__best")).isEmpty():
+        stay = stay.unionByName(rows.join(small(more.select(*marks), 32), [*marks], "left_semi").dropDuplicates([*marks]))
+    return stay.select(*(F.col(f"`{c}`") for c in df.columns))

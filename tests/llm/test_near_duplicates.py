@@ -57,15 +57,15 @@ def near_family(rng, n, centres=6):
     return out + [rng.getrandbits(64) for _ in range(n)]
 
 
-@pytest.mark.parametrize("chunk, bucket", [(16384, 4096), (40, 64)])
-def test_links_and_components_of_random_fingerprints(spark, monkeypatch, chunk, bucket):
-    """Also with buckets so small that hot ones are dealt into pairs of chunks."""
+@pytest.mark.parametrize("chunk, bucket, blocks", [(16384, 4096, None), (40, 64, 4), (16384, 8, 5), (20, 8, 6)])
+def test_links_and_components_of_random_fingerprints(spark, monkeypatch, chunk, bucket, blocks):
+    """Also with buckets so small that hot ones are dealt into pairs of chunks, and with the blocks of larger inputs."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     fps = sorted(set(near_family(random.Random(3), 240)))
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(df, blocks=blocks)).collect()}
     got = defaultdict(set)
     for f in signed:
         got[roots.get(f, f)].add(f)
@@ -271,8 +271,9 @@ def test_stage_finds_pairs_across_components_of_a_bucket(spark):
             words = words[15:] + [f"w{rng.randrange(9000)}" for _ in range(15)]
     rng.shuffle(docs)
     docs = list(enumerate(docs))
-    marked = spark.createDataFrame([(i, [1]) for i, _ in docs], "node long, bands array<long>")
-    roots = {r.node: r.root for r in simhash.jaccard_components(marked, spark.createDataFrame(docs, "node long, text string")).collect()}
+    marked = spark.createDataFrame([(i, simhash.fingerprint(t, 5), [1]) for i, t in docs], "node long, fp long, bands array<long>")
+    texts = spark.createDataFrame(docs, "node long, text string")
+    roots = {r.node: r.root for r in simhash.jaccard_components(marked, lambda nodes: texts.join(nodes, "node", "left_semi")).collect()}
     assert [roots.get(i, i) for i, _ in docs] == groups_of(docs, jaccard_pairs(docs))
 
 

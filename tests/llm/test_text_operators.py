@@ -18,79 +18,109 @@ DATA = "/root/testdata/sf0.001"
 # op1
 
 
-def brute_rates(rows, budget=mixing.BUDGET):
-    """rows: (source, lang, topic, tokens); the keep rate of each cell by plain raking and bisection."""
+def brute_targets(natural, power, budget):
+    """The tempered targets of one dimension, none above all its tokens; natural: value to share of the tokens."""
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(n, mid * n**power) for n in natural.values()) < budget else (low, mid)
+    return {v: min(n, high * n**power) / budget for v, n in natural.items()}
+
+
+def brute_rates(rows, budget=mixing.BUDGET, sweeps=400):
+    """rows: (source, lang, topic, tokens); the keep rate of each cell. Each value's factor is found by bisection, in turn."""
     cells = collections.Counter()
     for s, la, t, n in rows:
         cells[s, la, t] += n
-    keys, natural = list(cells), np.array(list(cells.values()), float)
-    natural /= natural.sum()
-    w = natural.copy()
-    for _ in range(200):
-        for d, power in enumerate(mixing.TEMPERATURE.values()):
-            sums, now = collections.Counter(), collections.Counter()
-            for k, n, x in zip(keys, natural, w, strict=True):
-                sums[k[d]] += n
-                now[k[d]] += x
-            goal = {v: s**power for v, s in sums.items()}
-            total = sum(goal.values())
-            w = np.array([x * goal[k[d]] / total / now[k[d]] for k, x in zip(keys, w, strict=True)])
-    ratio, low, high = w / natural, 0.0, 1e6
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (natural * np.minimum(1, mid * ratio)).sum() < budget else (low, mid)
-    return dict(zip(keys, np.minimum(1, high * ratio), strict=True))
+    keys = [k for k, n in cells.items() if n]
+    natural = np.array([cells[k] for k in keys], float) / sum(cells.values())
+    goals = []
+    for d, power in enumerate(mixing.TEMPERATURE.values()):
+        sums = collections.Counter()
+        for k, n in zip(keys, natural, strict=True):
+            sums[k[d]] += n
+        goals.append(brute_targets(sums, power, budget))
+    cap, u = natural / budget, natural.copy()
+    for _ in range(sweeps):
+        for d, goal in enumerate(goals):
+            for v, g in goal.items():
+                own = np.array([k[d] == v for k in keys])
+                low, high = 0.0, 1e6
+                for _ in range(100):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if np.minimum(cap[own], mid * u[own]).sum() < g * (1 - 1e-13) else (low, mid)
+                u[own] *= high
+        off = max(abs(np.minimum(cap, u)[np.array([k[d] == v for k in keys])].sum() / g - 1) for d, goal in enumerate(goals) for v, g in goal.items())
+        if off < 1e-9:
+            break
+    rate = np.minimum(1, np.minimum(cap, u) / natural * budget)
+    return dict(zip(keys, rate, strict=True)) | {k: 0.0 for k, n in cells.items() if not n}
+
+
+def kind_by_characters(text):
+    raw = (text or "").encode()
+    seen = [b for b in raw if b not in b" \t\n\x0b\x0c\r"]
+    upper, digits = sum(65 <= b <= 90 for b in seen), sum(48 <= b <= 57 for b in seen)
+    words = digits + sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in seen)
+    tokens = len(re.findall(r"[^ \t\n\x0b\x0c\r]+", text or ""))
+    return ("empty" if not seen else "symbols" if words < 0.8 * len(seen) else "numbers" if digits >= 0.2 * words else "capitals" if upper >= 0.5 * words else "prose"), tokens
 
 
 def test_mixing_of_documents(spark):
-    rows = queries.op1_mixing(spark, DATA).collect()
+    data = "/root/testdata/sf0.01"
+    rows = queries.op1_mixing(spark, data).collect()
     rates = brute_rates([(r.source, r.lang, r.topic, r.n_tokens) for r in rows])
-    assert len(rows) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
     for r in rows:
+        assert (r.topic, r.n_tokens) == kind_by_characters(texts[r.doc_id])
         assert r.rate == pytest.approx(rates[r.source, r.lang, r.topic], abs=1e-4)
         digest = hashlib.md5(f"{r.doc_id}:{mixing.SALT}".encode()).hexdigest()
         assert r.kept == (int(digest[:12], 16) / 2**48 < r.rate)
-    assert sum(r.n_tokens * r.rate for r in rows) / sum(r.n_tokens for r in rows) == pytest.approx(mixing.BUDGET, abs=1e-4)
+    whole = sum(r.n_tokens for r in rows)
+    kept = sum(r.n_tokens * r.rate for r in rows)
+    assert kept / whole == pytest.approx(mixing.BUDGET, abs=1e-3)
+    for at, power in zip(("source", "lang", "topic"), mixing.TEMPERATURE.values(), strict=True):
+        natural, have = collections.Counter(), collections.Counter()
+        for r in rows:
+            natural[r[at]] += r.n_tokens / whole
+            have[r[at]] += r.n_tokens * r.rate / kept
+        for v, g in brute_targets({v: n for v, n in natural.items() if n}, power, mixing.BUDGET).items():
+            assert have[v] == pytest.approx(g, rel=3e-3)
 
 
-def test_kept_tokens_meet_the_targets_before_the_budget(spark):
+def test_kinds_of_text():
+    for text in (None, "", " \n\t", "plain words", "ABC DEF ghi", "12 34 abc 56", "@@ ## !! a", "日本語", "x " * 700000 + "y", " lead", "a\x0bb"):
+        assert mixing.kind_and_tokens(text) == kind_by_characters(text)
+
+
+def test_kept_tokens_meet_the_targets_before_the_budget(spark, monkeypatch):
     """Equal targets on a hot source; some cells reach a rate of 1."""
     rng = random.Random(7)
     rows = [(s, la, p, rng.randrange(50, 900) * (30 if s == "a" else 1), 1) for s in "abcd" for la in ("en", "de", None) for p in "xyz"]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
     share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
     goals = {"source": share(dict.fromkeys("abcd", 1.0)), "lang": share({"en": 0.4, "de": 0.3, None: 0.3}), "topic": share({"x": 0.5, "y": 0.3, "z": 0.2})}
-    raked = mixing.rake(cells, goals)
-    rates = mixing.marginal_rates(raked, list(goals), 0.7)
+    rates = mixing.keep_rates(cells, goals, 0.7)
     found = mixing.kept_marginals(rates, goals).collect()
     assert len(found) == 10 and all(r.kept == pytest.approx(r.target, rel=3e-3) for r in found)
-    got = rates.collect()
-    single = 1 / max(r.weight / r.natural for r in got)
+    got, free = rates.collect(), mixing.rake(cells, goals).collect()
+    monkeypatch.setattr(mixing, "CELLS", 20)  # more partitions: a job for each step
+    key = lambda r: (r.source, str(r.lang), r.topic)
+    slow = {key(r): r.weight for r in mixing.rake(cells, goals, 0.3).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 1000)
+    assert {key(r): r.weight for r in mixing.rake(cells, goals, 0.3).collect()} == pytest.approx(slow, abs=1e-12)
+    single = 1 / max(r.weight / r.natural for r in free)
     kept = sum(r.natural * r.rate for r in got)
-    assert single * 1.1 < kept <= 0.7 and max(r.rate for r in got) <= 1
-    before = mixing.kept_marginals(mixing.keep_rates(raked, 0.7), goals).collect()
-    assert max(abs(r.kept - r.target) for r in before) > 0.1
+    assert single * 1.1 < kept <= 0.7 and max(r.rate for r in got) <= 1 and any(r.rate > 0.999 for r in got)
 
 
-def test_stage_mix_of_documents_meets_its_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = mixing.mix(docs, topic=mixing.kind_of, marginals_first=True).select("source", "lang", "__topic", "__tokens", "__rate").collect()
-    for at, power in enumerate(mixing.TEMPERATURE.values()):
-        natural, kept = collections.Counter(), collections.Counter()
-        for r in rows:
-            natural[r[at]] += r[3]
-            kept[r[at]] += r[3] * (r[4] or 0)
-        goal = {v: n**power for v, n in natural.items() if n}
-        low, high = 0.0, 1e9
-        for _ in range(200):  # no value may be wanted beyond all its tokens
-            mid = (low + high) / 2
-            low, high = (mid, high) if sum(min(natural[v], mid * g) for v, g in goal.items()) < mixing.BUDGET * sum(natural.values()) else (low, mid)
-        goal = {v: min(natural[v], high * g) for v, g in goal.items()}
-        for v, g in goal.items():
-            assert kept[v] / sum(kept.values()) == pytest.approx(g / sum(goal.values()), rel=5e-3)
-    whole = sum(r[3] for r in rows)
-    print("kept", sum(r[3] * (r[4] or 0) for r in rows) / whole)
-    assert 0.5 * whole < sum(r[3] * (r[4] or 0) for r in rows) <= 0.7001 * whole
+def test_targets_that_contradict_each_other_are_told(spark):
+    """Source a is all in x, and is wanted as the half of everything of which x is a tenth."""
+    cells = spark.createDataFrame([("a", "en", "x", 500, 1), ("b", "en", "y", 500, 1)], "source string, lang string, topic string, tokens long, docs long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    with pytest.warns(UserWarning, match="targets not met: "):
+        mixing.keep_rates(cells, {"source": share({"a": 0.5, "b": 0.5}), "topic": share({"x": 0.1, "y": 0.9})}, 0.7).collect()
 
 
 def test_raking_meets_given_targets(spark):
@@ -110,7 +140,7 @@ def test_raking_meets_given_targets(spark):
 
 def test_mixing_edge_cases(spark):
     rows = [(1, "one two", None, None), (1, "one two", None, None), (None, "x", "s", "en"), (2, None, "s", "en"), (3, "", "s", "en"), (4, "w " * 50000, "s", "de")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("topic", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"topic": F.lit("clash"), "__key": F.lit(1), "__topic": F.lit(2), "__rate": F.lit(3)})
     got = mixing.mix(df).collect()
     assert len(got) == 6 and {r.doc_id: bool(r["__kept"]) for r in got if r.doc_id in (2, 3)} == {2: False, 3: False}
     assert len({r["__kept"] for r in got if r.doc_id == 1}) == 1
@@ -267,12 +297,13 @@ def test_language_edge_cases(spark, monkeypatch):
     model = language.learn(docs)
     rows = [(1, None), (2, ""), (3, "123 ... !"), (4, "日本"), (5, "the " * 100000), (6, "la que de los ción"), (6, "la que de los ción")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, model, ["doc_id"]).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, model, ["doc_id", "score"]).collect()}
     assert all(got[i] == ("und", 0.0) for i in (1, 2, 3)) and got[4][0] != "und" and got[5][0] == "en" and got[6][0] == "es"
     long = [language._blob(t or "") for _, t in rows]
-    whole = language.sums(long, model.table())
+    whole, known = language.sums(long, model.table(), model.known)
     monkeypatch.setattr(language, "PIECE", 64)
-    assert np.allclose(whole, language.sums(long, model.table()))
+    again, same = language.sums(long, model.table(), model.known)
+    assert np.allclose(whole, again) and np.allclose(known, same)
     assert language.predict(df.limit(0), model, ["doc_id"]).count() == 0
     nothing = language.learn(docs.where("lang is null"))
     assert {r.lang_pred for r in language.predict(df, nothing, ["doc_id"]).collect()} == {"und"}
@@ -280,6 +311,54 @@ def test_language_edge_cases(spark, monkeypatch):
     assert {r.lang_pred for r in language.predict(df, one, ["doc_id"]).collect()} == {"und", "fr"}
 
 
+def brute_language(text, model):
+    """Language, score and familiarity of a text by counting its trigrams one by one."""
+    blob = b" " + text.lower().encode() + b" "
+    blob = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in blob)
+    grams = [blob[i - 1 : i + 2] for i in range(1, len(blob) - 1) if blob[i] != 32]
+    hashes = [int.from_bytes(g, "big") * 2654435761 % 2**32 for g in grams]
+
+    def judge(machines):
+        k = len(machines.classes)
+        if k == 1:
+            return machines.classes[0], 1.0
+        votes, total, prob = [0] * k, [0.0] * k, [0.0] * k
+        for c, (i, j) in enumerate(machines.pairs):
+            m = sum(float(machines.weight[h >> 20, c]) for h in hashes) / len(hashes) + float(machines.bias[c])
+            p = 1 / (1 + math.exp(-max(-40, min(40, machines.slope[c] * m + machines.shift[c]))))
+            votes[i if m > 0 else j] += 1
+            total[i] += math.tanh(m)
+            total[j] -= math.tanh(m)
+            prob[i] += p
+            prob[j] += 1 - p
+        best = max(range(k), key=lambda x: (votes[x], total[x], -x))
+        return machines.classes[best], prob[best] / (k - 1)
+
+    family, first = judge(model.families)
+    lang, second = judge(model.within[family])
+    return lang, first * second, sum(bool(model.known[h >> 12]) for h in hashes) / len(hashes) if len(hashes) >= language.LEAST_TRIGRAMS else 1.0
+
+
+def test_scores_against_plain_python(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.learn(docs)
+    assert len(model.families.classes) == 2 and sum(len(m.classes) for m in model.within.values()) == 4
+    for r in language.predict(docs, model, ["doc_id", "text"]).collect():
+        lang, score, familiar = brute_language(r.text, model)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4) and r.familiar == pytest.approx(familiar, abs=1e-12)
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    """One id that all rows share draws all of them at once; the rates are halved until the bound holds."""
+    rows = [(7, f"some words of number {i} and others", "en") for i in range(400)] + [(i, f"andere wörter mit nummer {i}", "de") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = language.sample_counts(df, "text", "lang", "doc_id", 60)
+    again = language.sample_counts(df.repartition(7), "text", "lang", "doc_id", 60)
+    assert 0 < len(first) <= 6 * 60 and [(r[0], r[1].tolist()) for r in first] == [(r[0], r[1].tolist()) for r in again]
+    with pytest.raises(ValueError, match="more languages"):
+        language.sample_counts(df, "text", "lang", "doc_id", 1)
+
+
 def test_training_does_not_see_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     spoiled = docs.withColumn("lang", F.when(language.held_out("doc_id"), "xx").otherwise(F.col("lang")))

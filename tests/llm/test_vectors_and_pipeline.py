@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import language, line_dedup, mixing, permutation_index, queries
-from tests.llm.test_near_duplicates import brute_components, brute_fingerprint
-from tests.llm.test_text_operators import brute_rates
+from tests.llm.test_near_duplicates import groups_of, jaccard_pairs
+from tests.llm.test_text_operators import brute_language, brute_rates, kind_by_characters
 
 DATA = "/root/testdata/sf0.001"
 
@@ -102,8 +102,10 @@ def test_stages_against_plain_python(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         seen[name] = {r.doc_id: r for r in docs.collect()}
-    left = {d: t for d, t, *_ in rows if t and any(c.isalpha() for c in t)}
-    assert set(seen["language_id"]) == set(left)
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    judged = {d: brute_language(t, model) for d, t, *_ in rows if t and any(c.isalpha() for c in t)}
+    left = {d: lang for d, (lang, _, familiar) in judged.items() if familiar >= model.bound}
+    assert {d: r.lang for d, r in seen["language_id"].items()} == left and 0 < model.bound < 1
     count, pages = {}, {}
     for d, r in seen["language_id"].items():
         pages[r.source] = pages.get(r.source, 0) + 1
@@ -114,9 +116,9 @@ def test_stages_against_plain_python(spark, tmp_path):
     for d, r in seen["language_id"].items():
         text = "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in bad)
         assert seen["line_dedup"][d].text == text and seen["line_dedup"][d].n_chars == len(text)
-    fps = [(d, brute_fingerprint(r.text)) for d, r in sorted(seen["line_dedup"].items())]
-    assert set(seen["near_dedup"]) == {d for (d, _), c in zip(fps, brute_components(fps), strict=True) if c == d} and len(seen["near_dedup"]) < len(fps)
-    facts = {d: (r.source, r.lang, *spark_topic(spark, r.text)) for d, r in seen["near_dedup"].items()}
+    cleaned = [(d, r.text) for d, r in sorted(seen["line_dedup"].items())]
+    assert set(seen["near_dedup"]) == {cleaned[i][0] for i in groups_of(cleaned, jaccard_pairs(cleaned))} and len(seen["near_dedup"]) < len(cleaned)
+    facts = {d: (r.source, r.lang, *kind_by_characters(r.text)) for d, r in seen["near_dedup"].items()}
     rates = brute_rates(list(facts.values()))
     u = lambda d: int(hashlib.md5(f"{d}:{mixing.SALT}".encode()).hexdigest()[:12], 16) / 2**48
     assert set(seen["mixing"]) == {d for d, f in facts.items() if u(d) < rates[f[:3]]}
@@ -132,13 +134,6 @@ def test_stages_against_plain_python(spark, tmp_path):
         assert bytes(r.token_ids) == struct.pack(f"<{len(ids)}I", *ids) and r.decoded_sha256 == hashlib.sha256(seen["mixing"][d].text.encode()).hexdigest()
 
 
-def spark_topic(spark, text):
-    import re
-
-    topic = "table" if " | " in text else "markup" if re.search(r"###|%%%|\*\*\*|\$\$\$|&&&", text) else "prose" if re.search("[a-z]", text) else "capitals"
-    return topic, len(re.findall(r"\S+", text))
-
-
 def test_run_keeps_clean_documents(spark):
     found = corpus_pipeline.run(spark, DATA)
     total = spark.read.parquet(f"{DATA}/documents.parquet").count()
@@ -158,7 +153,46 @@ def test_entry_works_without_the_subpackage(monkeypatch):
     assert not any(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.oracle_sql())
 
 
-def test_language_stage_rejects_only_texts_without_language(spark):
+FOREIGN = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "japanese": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+}
+
+
+def test_language_stage_rejects_foreign_texts_and_gibberish(spark):
+    """Next to all labelled held-out documents stay, also in pairs of two languages; planted foreign and random texts go."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, rng = docs.collect(), random.Random(6)
+    planted = [(10_000 + i, t, "en", "src0", len(t)) for i, t in enumerate(FOREIGN.values())]
+    planted += [(10_100 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(60)), "en", "src0", 0) for i in range(40)]
+    planted += [(10_200 + i, language.shuffled(r.text), r.lang, "src0", 0) for i, r in enumerate(r for r in rows[:120] if r.n_chars > 200)]
+    mixed = [(20_000 + i, a.text + "\n" + b.text, a.lang, "src0", 0) for i, (a, b) in enumerate(zip(rows[:100], rows[100:200], strict=True))]
+    every = docs.unionByName(spark.createDataFrame(planted + mixed, docs.schema))
+    model = language.learn(docs)
+    found = language.predict(every, model, ["doc_id"]).where(F.col("familiar") >= model.bound)
+    kept = {r.doc_id for r in found.collect()}
+    lettered = {r.doc_id for r in rows if r.text and any(c.isalpha() for c in r.text)}
+    assert len(lettered & kept) >= 0.998 * len(lettered) and len([d for d in kept if d >= 20_000]) == 100
+    gone = [d for d, *_ in planted if d not in kept]
+    print("bound", model.bound, "kept", len(lettered & kept), "of", len(lettered), "planted gone", len(gone), "of", len(planted))
+    assert len(gone) >= 0.9 * len(planted)
+
+
+def test_language_stage_has_the_columns_and_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
     kept = corpus_pipeline.language_id(spark, docs, DATA)
-    assert kept.count() == docs.where(F.col("text").rlike("\\p{L}")).count() and language.UNKNOWN == "und"
+    assert kept.columns == docs.columns and kept.where("lang is null or lang = 'und'").count() == 0
+    assert corpus_pipeline.language_id(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_of_an_empty_table_and_null_ids(spark, tmp_path):
+    rows = [(None, "the words of one text", None, None, None), (None, None, None, "s", None), (None, "the words of one text", None, None, None), (1, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for some in (docs.limit(0), docs):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, some, str(tmp_path))
+            assert out.count() <= 4
+            assert name == "byte_bpe" or out.columns == docs.columns
