@@ -2,7 +2,7 @@
 
 Stages take (spark, docs, sf_dir) and return the columns of docs, the last one the encoded corpus:
 
-1. language ID: texts without a letter and texts the model is unsure of go;
+1. language ID: texts without a letter and texts in none of the learned languages go; lang becomes the predicted one;
 2. line dedup: lines that too many pages of a source hold go from the texts;
 3. near-dedup: one document of each group stays, linked by a Jaccard similarity of 0.8 of five-word shingles;
 4. mixing: documents are drawn so that source, language and topic meet their target weights;
@@ -23,17 +23,15 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, language, line_dedup, mixing, simhash
 from ledgerloom.llm.common import checkpoint_folder
 
-#: Least score of a language prediction that is believed: under it, family and language are both no better than
-#: a toss. Texts that mix two languages score higher and stay.
-LEAST_SCORE = 0.25
-
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language the model is sure of. Trained on labelled documents that are not held out."""
-    found = language.predict(docs, language.learn(docs), docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that the model knows, with lang as predicted. Trained on labelled documents that are not held
+    out; the least familiarity of a text is fixed on the same labelled rows, so documents that mix languages stay."""
+    model = language.learn(docs)
+    found = language.predict(docs, model, docs.columns).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("familiar") >= model.bound))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the kept tokens meet the targets; the budget is an upper limit."""
-    return mixing.mix(docs, topic=mixing.kind_of, marginals_first=True).where("__kept").select(*docs.columns)
+    return mixing.mix(docs).where("__kept").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
