@@ -23,7 +23,7 @@ bands. Every candidate is confirmed by the exact sets; the components are joined
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,7 +45,9 @@ FAN = 16
 #: Distinct fingerprints aimed at in a bucket, and from which a bucket is dealt into chunks.
 BUCKET, CHUNK = 4096, 16384
 #: Shingles hashed and summed at a time.
-SHINGLES = 1 << 16
+SHINGLES = 1 << 14
+#: Fingerprints looked up in an index at a time.
+QUERIES = 128
 SEED = 42
 #: The pipeline's stage: words of a shingle, and least Jaccard similarity of the sets of two near copies.
 STAGE_WIDTH, STAGE_JACCARD = 5, 0.8
@@ -62,10 +64,11 @@ def _words(text: str | None) -> list[bytes]:
 def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The hashes of the word shingles in order, repeats included, some at a time; a shorter sequence is one shingle."""
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = [0, *accumulate(len(w) + 1 for w in words)]
+    ends = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=ends[1:])
     width = min(width, len(words))
     for at in range(0, len(words) - width + 1 if words else 0, SHINGLES):
-        some = zip(ends[at : at + SHINGLES], ends[at + width : at + width + SHINGLES], strict=False)
+        some = zip(ends[at : at + SHINGLES].tolist(), ends[at + width : at + width + SHINGLES].tolist(), strict=False)
         yield np.fromiter((digest(joined[a : b - 1], SEED) for a, b in some), np.uint64)
 
 
@@ -169,9 +172,8 @@ def local_links(left: np.ndarray, right: np.ndarray | None, turn: int, radius: i
     index = GrayIndex(np.unique(left if right is None else right), turn)
     place = np.searchsorted(nodes, index.fps)
     queries = index.fps if right is None else np.unique(left)
-    step = 512
-    for at in range(0, len(queries), step):
-        some = queries[at : at + step]
+    for at in range(0, len(queries), QUERIES):
+        some = queries[at : at + QUERIES]
         q, found = index.near(some, radius)
         a, b = np.searchsorted(nodes, some)[q], place[found]
         label = least_of_component(label, a[a != b], b[a != b])
@@ -406,15 +408,18 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
     groups = cut(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
+    counted = cut(marked.groupBy(*marks).agg(F.count("*").alias("__rows")))
+    repeats = not counted.where("__rows > 1").isEmpty()
+
     def texts_of(nodes: DataFrame) -> DataFrame:
         owners = cut(groups.join(nodes, "node", "left_semi").select("node", *(F.col(f"own.{m}").alias(m) for m in marks)))
-        once = rows.select(*marks, F.col(text).alias("text")).join(small(owners, 32), [*marks]).select("node", "text")
-        return once.dropDuplicates(["node"])
+        found = rows.select(*marks, F.col(text).alias("text")).join(small(owners, 32), [*marks]).select("node", "text")
+        return found.dropDuplicates(["node"]) if repeats else found
 
     roots = jaccard_components(groups.select("node", "fp", "bands"), texts_of, least)
     named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("own")).select(*(F.col(f"own.{m}").alias(m) for m in marks))
-    each = marked.groupBy(*marks).agg(F.count("*").alias("__rows")).join(best.withColumn("__best", F.lit(True)), [*marks], "left")
+    each = counted.join(best.withColumn("__best", F.lit(True)), [*marks], "left")
     each = cut(each.where("__best is null or __rows > 1"))  # all other rows stay as they are
     stay = rows.join(small(each.select(*marks), 32), [*marks], "left_anti")
     if not (more := each.where("__best")).isEmpty():
