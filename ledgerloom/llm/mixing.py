@@ -36,6 +36,10 @@ CHECK, STALL = 4, 29 / 30
 BUDGET, SALT = 0.7, "mix-1"
 #: Targets are the natural marginals to this power: below 1 small sources and languages gain.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.8}
+#: What a value lacks, or has in loose cells, below this share of its target is rounding: its cells are scaled as a whole.
+LOOSE = 1e-6
+#: A cell at this share of its bound is full.
+FULL = 1 - 1e-9
 #: Cells of one partition of the cell table.
 CELLS = 100_000
 
@@ -153,12 +157,13 @@ def _raked_by_sums(table: DataFrame, dims: list[str], rounds: int, tolerance: fl
     errors = [0.0]
     for at in range(rounds):
         for d in dims:
-            full = F.col("__u") >= F.col("__cap")
+            full = F.col("__u") >= F.col("__cap") * F.lit(FULL)
             got = table.where("live").groupBy(f"__v_{d}").agg(
                 F.sum(F.when(full, F.col("__cap")).otherwise(0.0)).alias("capped"), F.sum(F.when(full, 0.0).otherwise(F.col("__u"))).alias("loose"), F.max(f"__goal_{d}").alias("goal"),
             )
             rest = F.col("goal") - F.col("capped")
-            factor = F.when((F.col("loose") > 0) & (rest > 0), rest / F.col("loose")).otherwise(F.col("goal") / (F.col("capped") + F.col("loose")))
+            edge = F.col("goal") * F.lit(LOOSE)
+            factor = F.when((F.col("loose") > edge) & (rest > edge), rest / F.col("loose")).otherwise(F.col("goal") / (F.col("capped") + F.col("loose")))
             table = table.join(got.select(f"__v_{d}", factor.alias("__f")), f"__v_{d}", "left").withColumn("__u", F.when(F.col("live"), F.col("__u") * F.col("__f")).otherwise(0.0)).drop("__f")
             table = cut(table.coalesce(parts))
         if at % CHECK == CHECK - 1 or at == rounds - 1:
@@ -186,10 +191,11 @@ def _raked(batches: Iterator[pd.DataFrame], dims: list[str], rounds: int, tolera
         goals.append(goal)
     for at in range(rounds if live.any() else 0):
         for code, goal in zip(codes, goals, strict=True):
-            full = u >= cap
+            full = u >= cap * FULL
             capped, loose = np.bincount(code, np.where(full, cap, 0), len(goal)), np.bincount(code, np.where(full, 0, u), len(goal))
             rest = goal - capped
-            u = u * np.where((loose > 0) & (rest > 0), rest / np.where(loose > 0, loose, 1), goal / (capped + loose))[code]
+            free = (loose > goal * LOOSE) & (rest > goal * LOOSE)
+            u = u * np.where(free, rest / np.where(free, loose, 1), goal / (capped + loose))[code]
         if at % CHECK == CHECK - 1 or at == rounds - 1:
             errors.append(max(float((np.abs(np.bincount(code, np.minimum(u, cap), len(goal)) - goal) / goal).max()) for code, goal in zip(codes, goals, strict=True)))
             if _done(errors[1:], tolerance):
@@ -282,8 +288,8 @@ a_{d} AS (SELECT {d}, least(n, g * (SELECT c FROM c_{d})) AS s FROM n_{d}), t_{d
         for d in TEMPERATURE:
             name = f"u{i}_{d}"
             steps.append(
-                f"{name}s AS (SELECT *, sum(CASE WHEN u >= cap THEN cap ELSE 0 END) OVER (PARTITION BY {d}) AS k, sum(CASE WHEN u >= cap THEN 0 ELSE u END) OVER (PARTITION BY {d}) AS l FROM {last}), "
-                f"{name} AS (SELECT * EXCLUDE (k, l) REPLACE (u * CASE WHEN l > 0 AND goal_{d} > k THEN (goal_{d} - k) / l ELSE goal_{d} / (k + l) END AS u) FROM {name}s)"
+                f"{name}s AS (SELECT *, sum(CASE WHEN u >= cap * {FULL!r} THEN cap ELSE 0 END) OVER (PARTITION BY {d}) AS k, sum(CASE WHEN u >= cap * {FULL!r} THEN 0 ELSE u END) OVER (PARTITION BY {d}) AS l FROM {last}), "
+                f"{name} AS (SELECT * EXCLUDE (k, l) REPLACE (u * CASE WHEN l > goal_{d} * {LOOSE} AND goal_{d} - k > goal_{d} * {LOOSE} THEN (goal_{d} - k) / l ELSE goal_{d} / (k + l) END AS u) FROM {name}s)"
             )
             last = name
     ascii_of = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
