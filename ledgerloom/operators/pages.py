@@ -39,25 +39,36 @@ def page_integrity(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_type").agg(F.count("*").alias("n"), F.count_if(F.col("stored_crc") == F.col("true_crc")).alias("crc_ok"))
 
 
+#: How far into a page its slot directory may begin, and the slots that make one.
+DIRECTORY, LEAST_SLOTS = 1024, 2
+
+
 def slots_of(page: bytes) -> tuple[str, list[tuple[int, int, int]]]:
-    """(outcome, [(slot, start, end)]) of an extent page whose directory of row offsets ends the data area.
+    """(outcome, [(slot, start, end)]) of an extent page with a slot directory.
 
-    The directory holds a count at its very end and, before it, the offsets, last slot first; zero is a free
-    slot. Rows run to the next live offset in physical order.
+    The directory is an array of 16-bit row offsets, falling but for zeros, which are free slots; it may begin at an
+    odd byte and be of either byte order. Of the words before it the last is zero, the third-last is the number of slots and
+    the fourth-last the least live offset; the first place where all this holds, and the array ends before the
+    first row, is the directory. Rows run to the next live offset in physical order, the last one to the end of the data.
     """
     if len(page) != PAGE or page[TYPE_AT : TYPE_AT + 1] != b"E":
         return "not_extent", []
-    (count,) = struct.unpack_from("<H", page, DATA_END - 2)
-    top = DATA_END - 2 - 2 * count
-    if not count or top <= 0:
-        return "no_slot_directory", []
-    offsets = struct.unpack_from(f"<{count}H", page, top)[::-1]
-    live = sorted((o, i) for i, o in enumerate(offsets) if o)
-    if not live or any(o >= top for o, _ in live):
-        return "no_slot_directory", []
-    ends = [o for o, _ in live[1:]] + [top]
-    rows = [(i, o, e) for (o, i), e in zip(live, ends, strict=True) if o < e]
-    return ("rows", rows) if rows else ("no_live_rows", [])
+    for start in range(12, DIRECTORY):
+        if page[start - 2] or page[start - 1]:
+            continue
+        for order in "<>":
+            least, count = struct.unpack_from(f"{order}HH", page, start - 8)
+            if count < LEAST_SLOTS or start + 2 * count > least or least >= DATA_END:
+                continue
+            offsets = struct.unpack_from(f"{order}{count}H", page, start)
+            live = [(o, i) for i, o in enumerate(offsets) if o]
+            falling = all(a > b for (a, _), (b, _) in zip(live, live[1:], strict=False))
+            if not live or not falling or live[-1][0] != least or live[0][0] >= DATA_END:
+                continue
+            live.reverse()
+            ends = [o for o, _ in live[1:]] + [DATA_END]
+            return "rows", [(i, o, e) for (o, i), e in zip(live, ends, strict=True)]
+    return "no_slot_directory", []
 
 
 def scan_rows(pages: DataFrame, first: int = 1, end: int | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import catalog_queries, evidence_queries, ledger_queries, page_queries
+from ledgerloom.plans import catalog_queries, evidence_queries, gate_queries, ledger_queries, page_queries
 
-_ALL = ledger_queries.QUERIES | catalog_queries.QUERIES | page_queries.QUERIES | evidence_queries.QUERIES
+_ALL = ledger_queries.QUERIES | catalog_queries.QUERIES | page_queries.QUERIES | evidence_queries.QUERIES | gate_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -167,30 +167,48 @@ def test_reconciliation_of_labels_and_sections(spark):
     assert [tuple(r) for r in reconcile.control_sections(native_rows, own).collect()] == [("Control", "ap1")]
 
 
-def test_pages(spark):
+def a_page(kind, rows, start=0x71, order="<", free=()):
+    """A page of the documented layout: prelude, falling offsets from `start` on, rows up to the end of the data; row i
+    is slot i, the slots in `free` are zero."""
     import struct
     import zlib
 
-    def page(kind, rows):
-        body = bytearray(pages.PAGE)
-        at, offsets = 64, []
-        for r in rows:
-            body[at : at + len(r)] = r
-            offsets.append(at)
-            at += len(r)
-        struct.pack_into("<H", body, pages.DATA_END - 2, len(rows))
-        for i, o in enumerate(offsets):
-            struct.pack_into("<H", body, pages.DATA_END - 4 - 2 * i, o)
-        body[pages.TYPE_AT] = ord(kind)
-        struct.pack_into("<I", body, pages.CRC_AT, zlib.crc32(bytes(body[: pages.CRC_AT])))
-        return bytes(body)
-
-    plain = page("E", [b"first row", b"second"])
-    content = page("I", []) + plain + page("E", []) + page("A", [b"x"])
+    body = bytearray(pages.PAGE)
+    at, offsets = pages.DATA_END, []
+    for r in rows:
+        at -= len(r)
+        body[at : at + len(r)] = r
+        offsets.append(at)
+    for i in sorted(free):
+        offsets.insert(i, 0)
+    if rows:
+        struct.pack_into(f"{order}6H", body, start - 12, 0x0404, 0x22, min(o for o in offsets if o), len(offsets), 1, 0)
+        struct.pack_into(f"{order}{len(offsets)}H", body, start, *offsets)
+    body[pages.TYPE_AT] = ord(kind)
+    struct.pack_into("<I", body, pages.CRC_AT, zlib.crc32(bytes(body[: pages.CRC_AT])))
+    return bytes(body)
+
+
+def test_slot_directories():
+    own = [b"first row", b"second", b"the third"]
+    for start, order, free in ((0x71, "<", ()), (0x80, ">", ()), (0x9D, "<", (1, 3))):
+        page = a_page("E", own, start, order, free)
+        outcome, slots = pages.slots_of(page)
+        at = [i for i in range(len(own) + len(free)) if i not in free]
+        assert outcome == "rows" and [(s, page[a:b]) for s, a, b in reversed(slots)] == list(zip(at, own, strict=True))
+    broken = bytearray(a_page("E", own))
+    broken[0x71 - 6] += 1  # one slot more than there are
+    assert pages.slots_of(bytes(broken)) == ("no_slot_directory", [])
+    assert pages.slots_of(a_page("A", own))[0] == "not_extent" and pages.slots_of(b"E" * 100)[0] == "not_extent"
+
+
+def test_pages(spark):
+    plain = a_page("E", [b"first row", b"second"])
+    content = a_page("I", []) + plain + a_page("E", []) + a_page("A", [b"x", b"y"])
     split = pages.split_pages(spark.createDataFrame([("f", content)], "path string, content binary"))
     assert {r.page_type: (r.n, r.crc_ok) for r in pages.page_integrity(split).collect()} == {"I": (1, 1), "E": (2, 2), "A": (1, 1)}
-    rows = [(r.page_number, r.outcome, r.slot, bytes(r.row or b"")[:9]) for r in pages.scan_rows(split).collect()]
-    assert rows == [(1, "row", 0, b"first row"), (1, "row", 1, b"second".ljust(9, b"\0")), (2, "no_slot_directory", None, b""), (3, "not_extent", None, b"")]
+    rows = [(r.page_number, r.outcome, r.slot, bytes(r.row or b"")) for r in pages.scan_rows(split).collect()]
+    assert rows == [(1, "row", 1, b"second"), (1, "row", 0, b"first row"), (2, "no_slot_directory", None, b""), (3, "not_extent", None, b"")]
     number, key, step = 9, 77, 3
     hidden = bytearray(plain)
     for s in range(8):
@@ -199,6 +217,35 @@ def test_pages(spark):
     assert pages.deobfuscate(bytes(hidden), number, key) == plain and pages.recover_key(bytes(hidden), number) == key
 
 
+def test_catalog_scans(spark):
+    import struct
+
+    from ledgerloom.operators import catalog_scan as cs
+
+    def row(body, prefix=b""):
+        return prefix + struct.pack("<I", len(body) + 4) + body
+
+    table = row(struct.pack("<IHQIII", 31, 1, 5, 7, 9, 2) + bytes(4) + struct.pack("<IQQ", 5, 1 << 40, 3) + bytes([6]) + b"orders" + bytes([1, 89, 2, 0]))
+    column = row(struct.pack("<IIHBBIhQq", 31, 2, 4, 1, ord("Y"), 8, -2, 77, -7) + bytes([4]) + b"memo" + b"\x01x" + cs.COLUMN_TAG)
+    index = row(b"\0" + b"\xaa\xbb\x01\x46" + struct.pack("<IIQ", 340, 0, 1 << 33) + bytes([6]) + b"fkey_a")
+    header = b"zz" + b"\x0e\x00\x10" + b"0123456789abcdEF" + b"\xff" + struct.pack("<II", 15000, 12) + bytes(9)
+    no_date = b"\x0e\x00\x10" + b"ZZZZZZZZZZZZZZZZ" + bytes(20)
+    body = b"\x99" * 7 + table + b"\x99" + column + b"\x99" + index
+    flat = (body + header + no_date).ljust(pages.DATA_END, b"\0") + bytes(2) + b"E" + bytes(13)
+    slotted = a_page("E", [header + no_date, no_date])
+    rows = spark.createDataFrame([(1, "abmc_bill_header", flat), (2, "abmc_bill_header", slotted), (3, "abmc_bill_line", flat)], "page_number int, owner string, bytes binary")
+    one = rows.where("page_number = 1")
+    (t,) = cs.scan(one, cs.table_rows).collect()
+    assert (t.table_id, int(t.object_id), t.name, int(t.row_count), t.pages, t.external_pages, t.table_type, t.server_type, t.offset) == (31, 1 << 40, "orders", 5, 9, 2, 1, 2, 7)
+    (c,) = cs.scan(one, cs.column_rows).collect()
+    assert (c.table_id, c.column_id, c.name, c.domain_id, c.nullable, c.width, c.scale, int(c.object_id), c.max_identity, bytes(c.post_name)) == (31, 2, "memo", 4, True, 8, -2, 77, -7, b"\x01x")
+    (i,) = cs.scan(one, cs.index_rows).collect()
+    assert (int(i.owner_object_id), i.catalog_page_candidate, i.name) == (1 << 33, 340, "fkey_a")
+    got = sorted((r.page_number, r.qb_id, r.txn_date_raw, r.counter) for r in cs.scan_headers(rows).collect())
+    assert got == [(1, "0123456789abcdEF", 15000, 12), (1, "Z" * 16, None, None), (2, "0123456789abcdEF", 15000, 12), (2, "Z" * 16, None, None)]
+    assert cs.scan(rows.limit(0), cs.table_rows).count() == 0
+
+
 def test_upsert_and_migration(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     got = sinks.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"]).collect()
