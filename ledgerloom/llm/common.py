@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,14 @@ BROADCAST_BYTES = 8 << 20
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for materialised steps: what the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -28,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is materialised inside: rows that carry texts are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df marked for broadcast if its counted rows stay under BROADCAST_BYTES, else df itself.
 

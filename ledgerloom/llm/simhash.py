@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import cut, small
+from ledgerloom.llm.common import batches_of, cut, small
 
 RADIUS = 3
 #: Most fingerprints for which they are cut into so many blocks; beyond the last, into one more. All give the same links.
@@ -46,6 +46,8 @@ FAN = 16
 BUCKET, CHUNK = 4096, 16384
 #: Shingles hashed and summed at a time.
 SHINGLES = 1 << 14
+#: Rows with texts in one batch.
+WIDE = 512
 #: Fingerprints looked up in an index at a time.
 QUERIES = 128
 SEED = 42
@@ -345,7 +347,8 @@ def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], lea
                 good.append(jaccard(shingle_set(x.as_py()), of_hub) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a long, b long"))
+    with batches_of(pairs.sparkSession, WIDE):
+        return cut(both.mapInArrow(run, "a long, b long"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -404,7 +407,8 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     values = [*(F.col(f"`{c}`") for c in df.columns), F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in df.columns))]
     marks = {f"__h{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)}
     rows = df.withColumns(marks)
-    marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t")), "__t"))
+    with batches_of(df.sparkSession, WIDE):
+        marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t")), "__t"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
     groups = cut(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
