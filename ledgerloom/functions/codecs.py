@@ -169,3 +169,45 @@ def entropy(data: bytes) -> float:
     n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     p = n[n > 0] / max(1, n.sum())
     return float(-(p * np.log2(p)).sum())
+
+
+def date_type32(data: Column) -> Column:
+    """A date of four bytes, the year in two of them, highest first, then month and day; all zeros, a date that does not
+    exist and other lengths are null."""
+    year, month, day = byte(data, 0) * 256 + byte(data, 1), byte(data, 2), byte(data, 3)
+    text = F.format_string("%04d-%02d-%02d", year, month, day)
+    return F.when((F.length(data) == 4) & (year > 0), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def date_type32_bytes(date: Column) -> Column:
+    return F.concat(hex_bytes(F.year(date), 2), hex_bytes(F.month(date), 1), hex_bytes(F.dayofmonth(date), 1))
+
+
+def amount_type(data: Column) -> Column:
+    """The type byte of an amount: 0 to 3, any other as null."""
+    kind = byte(data, 0)
+    return F.when(kind.between(0, 3), kind)
+
+
+#: A long-value locator's length.
+LOCATOR = 14
+
+
+def long_value_locator(data: Column, marker: int, page_count: Column) -> Column:
+    """struct<payload: bigint, page: bigint> of a locator of exactly LOCATOR bytes: its marker, the payload's length and the
+    page it is on, least byte first; null unless the marker is this one, the length is not zero and the page is one of the file's."""
+    word = lambda at: sum((byte(data, at + i).cast("bigint") * (1 << (8 * i)) for i in range(1, 4)), byte(data, at).cast("bigint"))
+    mark, payload, page = byte(data, 0) + byte(data, 1) * 256, word(2), word(6)
+    good = (F.length(data) == LOCATOR) & (mark == marker) & (payload > 0) & (page > 0) & (page < page_count)
+    return F.when(good, F.struct(payload.alias("payload"), page.alias("page")))
+
+
+def with_defaults(fields: Column, defaults: Column) -> Column:
+    """A sparse record's fields (map) with the schema's defaults for those that it does not store."""
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(fields, k)), fields)
+
+
+def table_id_of(page: Column, at: int) -> Column:
+    """The table id in a materialised page's header, four bytes at a place, least first; zero is none."""
+    found = sum((byte(page, at + i).cast("bigint") * (1 << (8 * i)) for i in range(1, 4)), byte(page, at).cast("bigint"))
+    return F.when(found != 0, found)

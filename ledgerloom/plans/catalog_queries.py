@@ -9,8 +9,8 @@ from ledgerloom.operators import catalog, discovery
 from ledgerloom.plans import fixtures as fx
 from ledgerloom.plans.fixtures import LINES, SCHEMA
 
-_CATALOG = """WITH tables AS (SELECT o_orderkey AS nth, o_orderkey // 2 AS object_id, 't' || (o_orderkey // 3) AS name, o_orderkey AS data_root_page,
-  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 40 WHEN o_orderkey % 5 = 0 THEN o_orderkey - 1 END AS last_page FROM orders WHERE o_orderkey % 97 = 0)"""
+_CATALOG = """WITH tables AS (SELECT o_orderkey AS nth, o_orderkey // 2 AS object_id, 't' || (o_orderkey // 3) AS name, CASE WHEN o_orderkey % 97 = 0 THEN o_orderkey ELSE 0 END AS data_root_page,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 40 WHEN o_orderkey % 5 = 0 THEN o_orderkey - 1 END AS last_page FROM orders)"""
 _OWNER = "CASE WHEN t.last_page >= t.data_root_page AND p.page_number > t.last_page THEN NULL ELSE t.name END"
 _ASOF = "ASOF LEFT JOIN (SELECT * FROM tables WHERE data_root_page > 0) t ON p.page_number >= t.data_root_page"
 
@@ -31,7 +31,7 @@ SELECT coalesce(owner, '') AS owner, count(*) AS n_pages, min(page_number) AS fi
 
 
 def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "concat('ix', o_orderkey) AS name", "o_orderkey div 3 AS owner_object_id", "o_orderkey AS catalog_page_candidate"
     )
 
@@ -40,7 +40,7 @@ def index_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.index_audit(_indexes(spark, sf_dir), fx.catalog_tables(spark, sf_dir))
 
 
-_AUDIT = f"""{_CATALOG}, p AS (SELECT 'ix' || o_orderkey AS name, o_orderkey // 3 AS owner_object_id, o_orderkey AS page_number FROM orders WHERE o_orderkey % 5 = 0),
+_AUDIT = f"""{_CATALOG}, p AS (SELECT 'ix' || o_orderkey AS name, o_orderkey // 3 AS owner_object_id, o_orderkey AS page_number FROM orders),
 ids AS (SELECT object_id, min(name) AS name, count(DISTINCT name) AS n FROM tables GROUP BY 1),
 placed AS (SELECT p.*, {_OWNER} AS owner FROM p {_ASOF}),
 audit AS (SELECT placed.name, owner_object_id, page_number, CASE WHEN n = 1 THEN ids.name END AS owner_by_id, owner AS owner_by_page,

@@ -26,17 +26,17 @@ FROM d LEFT JOIN b USING (name) GROUP BY 1"""
 
 
 def attribution_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as pages: owner by customer, content by the first bytes of the priority; roots are every 50th order."""
+    """Orders as pages: owner by customer, content by the first bytes of the priority; roots are each customer's first order."""
     rows = fx.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("t"), F.col("o_orderkey") % 7)).alias("owner"),
-        evidence.row_signature(F.encode(F.concat("o_orderpriority", F.lit("-"), F.col("o_orderkey") % 40), "UTF-8")).alias("signature"),
+        "o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("t"), F.col("o_orderkey") % 7)).alias("owner"),
+        evidence.row_signature(F.encode(F.concat("o_orderpriority", F.lit("-"), F.col("o_orderkey") % 800), "UTF-8")).alias("signature"),
     )
-    roots = rows.where("o_orderkey % 50 = 0 and o_orderkey < 1000").select("signature", F.concat(F.lit("t"), F.col("o_orderkey") % 7).alias("name"))
+    roots = rows.groupBy("o_custkey").agg(F.min_by(F.struct("signature", F.concat(F.lit("t"), F.col("o_orderkey") % 7).alias("name")), "o_orderkey").alias("r")).select("r.*")
     return evidence.attribution_agreement(rows, evidence.unique_signatures(roots))
 
 
-AGREEMENT = """WITH r AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN 't' || (o_orderkey % 7) END AS owner, substr(lower(hex(encode(o_orderpriority || '-' || (o_orderkey % 40)))), 1, 24) AS signature FROM orders),
-s AS (SELECT signature, min('t' || (o_orderkey % 7)) AS content FROM r WHERE o_orderkey % 50 = 0 AND o_orderkey < 1000 GROUP BY 1 HAVING count(*) = 1),
+AGREEMENT = """WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 <> 0 THEN 't' || (o_orderkey % 7) END AS owner, substr(lower(hex(encode(o_orderpriority || '-' || (o_orderkey % 800)))), 1, 24) AS signature FROM orders),
+s AS (SELECT signature, min('t' || (o_orderkey % 7)) AS content FROM r WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey) GROUP BY 1 HAVING count(*) = 1),
 b AS (SELECT owner, content FROM r LEFT JOIN s USING (signature))
 SELECT count(*) FILTER (owner = content) AS agree, count(*) FILTER (owner <> content) AS disagree, count(*) FILTER (owner IS NOT NULL AND content IS NULL) AS only_position,
 count(*) FILTER (owner IS NULL AND content IS NOT NULL) AS only_content, count(*) FILTER (owner IS NULL AND content IS NULL) AS neither FROM b"""

@@ -91,13 +91,12 @@ def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 97th order key is the root page of a catalog entry; some have a last page, some share a name or an object id."""
-    k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(k.alias("nth"))
+    """Every order is a catalog entry; those whose key 97 divides have a root page, some a last page, and many share a name or an object id."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("nth"))
     n = F.col("nth")
     return rows.select(
         "nth", n.alias("table_id"), F.expr("nth div 2").alias("object_id"), F.concat(F.lit("t"), F.expr("nth div 3")).alias("name"),
-        n.alias("data_root_page"), F.when(n % 2 == 0, n + 40).when(n % 5 == 0, n - 1).alias("last_page"),
+        F.when(n % 97 == 0, n).otherwise(F.lit(0)).alias("data_root_page"), F.when(n % 2 == 0, n + 40).when(n % 5 == 0, n - 1).alias("last_page"),
     )
 
 

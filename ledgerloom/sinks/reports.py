@@ -1,7 +1,8 @@
 """Reports as CSV, JSON, SQLite, spreadsheet-safe TSV and interchange text; partitioned Parquet with replacement.
 
-Reports are as small as a chart of accounts or one period's ledger; files that must be a single one in a
-total order are streamed through the driver row by row, never collected. Bulk output stays distributed.
+A General Ledger has as many rows as there are postings: it is written in parts, in order, by the tasks that hold
+them (`write_parts`, `replace_parquet`). A single CSV, JSON or SQLite file is for reports as small as a chart of accounts;
+its rows are counted against a bound before they come to the driver one by one.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ from ledgerloom.operators.gates import require, require_none
 from ledgerloom.operators.reports import ORDER
 
 #: Columns of the report files, in order.
-_ACCOUNT = "account_id account_number account_name account_full_name account_display_name parent_account_id account_type quickbooks_classification active activity".split()
-_MONEY = "debit_cents debit credit_cents credit net_cents net".split()
-_SOURCE = "source_file parser_version generated_at".split()
-_POLICY = "tb_policy_source tb_policy_as_of tb_policy_fiscal_year_start tb_policy_retained_earnings_account_id tb_policy_retained_earnings_report_name".split()
+_ACCOUNT = [
+    "account_id", "account_number", "account_name", "account_full_name", "account_display_name", "parent_account_id", "account_type",
+    "quickbooks_classification", "active", "activity",
+]
+_MONEY = ["debit_cents", "debit", "credit_cents", "credit", "net_cents", "net"]
+_SOURCE = ["source_file", "parser_version", "generated_at"]
+_POLICY = [
+    "tb_policy_source", "tb_policy_as_of", "tb_policy_fiscal_year_start", "tb_policy_retained_earnings_account_id", "tb_policy_retained_earnings_report_name",
+]
 TRIAL_BALANCE = ["entity_id", "as_of_day", *_ACCOUNT, *_MONEY, *_SOURCE, *_POLICY]
 GENERAL_LEDGER = [
     "entity_id", "as_of_day", "posting_day", "transaction_id", "posting_id", *_ACCOUNT, *_MONEY,
@@ -110,29 +116,72 @@ def validate_bundle(trial: DataFrame, ledger_rows: DataFrame) -> None:
     require_none(found.select(F.lit(0).alias("rank"), F.lit("trial_balance_disagrees").alias("check"), F.col("account_id").alias("key")))
 
 
-def csv_lines(file: DataFrame) -> Iterator[str]:
-    """The lines of a report file, heading first; rows come partition by partition."""
+#: Rows that a single file may have.
+ONE_FILE = 1_000_000
+
+
+def counted(file: DataFrame, most: int = ONE_FILE) -> DataFrame:
+    """file, if a single file may hold its rows; else an error that names the ways without such a bound."""
+    require(file.limit(most + 1).count() <= most, "too_many_rows_for_one_file", "use write_parts or replace_parquet")
+    return file
+
+
+def csv_lines(file: DataFrame, most: int = ONE_FILE) -> Iterator[str]:
+    """The lines of a report file, heading first."""
     buffer = io.StringIO()
     writer = csv.writer(buffer, lineterminator="\n")
-    for row in [file.columns, *()]:
-        writer.writerow(row)
+    writer.writerow(file.columns)
     yield buffer.getvalue()
-    for row in file.toLocalIterator(prefetchPartitions=True):
+    for row in counted(file, most).toLocalIterator():
         buffer.seek(0)
         buffer.truncate()
         writer.writerow(["" if v is None else v for v in row])
         yield buffer.getvalue()
 
 
-def json_document(file: DataFrame, meta: Metadata) -> Iterator[str]:
+def json_document(file: DataFrame, meta: Metadata, most: int = ONE_FILE) -> Iterator[str]:
     """The report as one JSON document: metadata, then rows in order."""
     yield json.dumps({"entity_id": meta.entity_id, "as_of_day": meta.as_of_day, "generated_at": meta.generated_at})[:-1] + ', "rows": ['
     own = file.select(F.to_json(F.struct(*file.columns), {"ignoreNullFields": "false"}).alias("j"))
-    for i, row in enumerate(own.toLocalIterator(prefetchPartitions=True)):
+    for i, row in enumerate(counted(own, most).toLocalIterator()):
         yield ("" if i == 0 else ",") + row["j"]
     yield "]}"
 
 
+def write_parts(file: DataFrame, target: str, form: str = "csv") -> None:
+    """A report of any size as a folder of parts whose names follow the report's order: CSV with a heading in each, or JSON
+    lines. An existing target is refused; what a failed task leaves is never published."""
+    require(form in ("csv", "json"), "unknown_form", form)
+    writer = file.write.mode("errorifexists")
+    if form == "csv":
+        writer.option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(target)
+    else:
+        writer.option("ignoreNullFields", False).json(target)
+
+
+def write_migration(catalog: DataFrame, transactions: DataFrame, items: DataFrame, target: str) -> None:
+    """The three folders of a migration: the catalog by table id, transactions and line items in physical order."""
+    for name, rows, order in (("catalog", catalog, ["table_id"]), ("transactions", transactions, ["source_page", "qb_id"]), ("lineitems", items, ["page_number", "page_offset"])):
+        write_parts(rows.orderBy(*order), f"{target}/{name}")
+
+
+def batch_status(results: DataFrame) -> DataFrame:
+    """(input_index, document): a JSON document for each input of a batch, in order; results: input_index, source_path,
+    byte_length and sha256 (null if it could not be read), status, reason."""
+    snapshot = F.when(F.col("sha256").isNotNull(), F.struct("byte_length", "sha256"))
+    whole = F.struct("input_index", "source_path", snapshot.alias("snapshot"), "status", "reason")
+    return results.select("input_index", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document")).orderBy("input_index")
+
+
+def snapshot_delta(pages: DataFrame, changed: DataFrame, remaining: DataFrame, transitions: DataFrame) -> DataFrame:
+    """One JSON document of a comparison: pages compared, changed, left after control noise, and how often each pair of page
+    types changed (transitions: before, after, n; page types are a few letters)."""
+    counts = pages.agg(F.count("*").alias("page_count")).crossJoin(F.broadcast(changed.agg(F.count("*").alias("changed_page_count")))).crossJoin(F.broadcast(remaining.agg(F.count("*").alias("remaining_changed_page_count"))))
+    types = transitions.agg(F.array_sort(F.collect_list(F.struct("before", "after", "n"))).alias("page_type_transitions"))  # one row on each side
+    whole = counts.crossJoin(F.broadcast(types)).withColumn("subtracted_changed_page_count", F.col("changed_page_count") - F.col("remaining_changed_page_count"))
+    return whole.select(F.to_json(F.struct("page_count", "changed_page_count", "subtracted_changed_page_count", "remaining_changed_page_count", "page_type_transitions")).alias("document"))
+
+
 def publish(lines: Iterator[str], target: str, inputs: tuple[str, ...] = (), force: bool = False) -> None:
     """Writes a file completely or not at all: staged beside the target, then renamed over it.
 
@@ -155,8 +204,9 @@ def publish(lines: Iterator[str], target: str, inputs: tuple[str, ...] = (), for
     backup.unlink(missing_ok=True)
 
 
-def write_sqlite(file: DataFrame, target: str, table: str, keys: tuple[str, ...] = ("entity_id", "as_of_day")) -> None:
-    """Replaces the report of the file's entity and day in a SQLite table, in one transaction, rows streamed."""
+def write_sqlite(file: DataFrame, target: str, table: str, keys: tuple[str, ...] = ("entity_id", "as_of_day"), most: int = ONE_FILE) -> None:
+    """Replaces the report of the file's entity and day in a SQLite table, in one transaction."""
+    counted(file, most)
     columns = ", ".join(f'"{c}"' for c in file.columns)
     with sqlite3.connect(target) as db:
         db.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({columns})')
