@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of at most this many bytes, as counted before the join, may be broadcast.
@@ -56,3 +56,8 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_by(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """The same for rows of different size: the bytes of all rows are summed before the join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES else df

@@ -5,7 +5,8 @@ exceeds a ratio. Pages are reduced to their distinct line hashes where they are
 read and counts combine map-side, so a hot host or line costs one counter per
 task. The boilerplate lines of a host are at most (lines per page) / ratio, so
 they travel as one small array per host; the texts themselves are not shuffled
-unless that table outgrows the broadcast bound.
+unless that table's bytes, summed before the join, outgrow the broadcast bound. A page
+looks its own lines up in its host's array once, by a hash set.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, small
+from ledgerloom.llm.common import cut, small_by
 
 #: Share of a host's pages from which a line goes, and the least number of such pages.
 RATIO, LEAST_PAGES = 0.1, 4
@@ -30,7 +31,10 @@ def _key(line: Column) -> Column:
 
 
 def _host(host: Column) -> Column:
-    return F.coalesce(host.cast("string"), F.lit(""))
+    """The host of a URL, in small letters; any other value is a host itself, null the host ''."""
+    text = host.cast("string")
+    named = F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    return F.coalesce(F.when(named != "", F.lower(named)).otherwise(text), F.lit(""))
 
 
 def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -46,17 +50,20 @@ def boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RAT
 def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """df with `text` freed of its host's boilerplate lines, and n_lines, n_dropped (long) added.
 
-    Pages of a host are rows; repeated rows are pages each; lines repeated in a page count
-    once for the page and are dropped together. Blank lines stay. A null text has no line
-    and stays null (n_lines 0); an empty one has one blank line. A null host is the host ''.
-    All other columns pass through; columns named n_lines or n_dropped are replaced.
+    host: a column of URLs or of plain names. Pages of a host are rows; repeated rows are pages each; lines repeated in a
+    page count once for the page and are dropped together. Blank lines stay. A null text has no line and stays null
+    (n_lines 0); an empty one has one blank line. A null host is the host ''. Texts of any length are read whole. All other
+    columns pass through; columns named n_lines or n_dropped are replaced, columns named __lines, __keys, __hits or __kept
+    are not returned. An empty table gives an empty result.
     """
-    found = boilerplate(df, host, text, ratio, least_pages)
-    lines = small(found.withColumn("__size", F.size("__lines")), 2048)
-    rows = df.drop("n_lines", "n_dropped")
-    joined = rows.join(lines, _host(rows[host]) == lines["__host"], "left")
-    kept = F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), _key(x)), F.lit(False)))
+    found = boilerplate(df, host, text, ratio, least_pages).withColumnRenamed("__host", "__site")
+    lines = small_by(found, F.size("__lines").cast("long") * 8 + F.octet_length("__site") + 64)
+    rows = df.drop("n_lines", "n_dropped", "__lines", "__keys", "__hits", "__kept", "__site")
+    joined = rows.join(lines, _host(rows[host]) == lines["__site"], "left")
     hit = F.col("__lines").isNotNull() & F.col(text).isNotNull()
+    joined = joined.withColumn("__keys", F.when(hit, F.transform(_lines(F.col(text)), _key)))
+    joined = joined.withColumn("__hits", F.array_intersect("__keys", "__lines"))
+    kept = F.filter(_lines(F.col(text)), lambda x, i: ~F.coalesce(F.array_contains(F.col("__hits"), F.get("__keys", i)), F.lit(False)))
     joined = joined.withColumn("__kept", F.when(hit, kept))
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long")
     new = {c: F.col(c) for c in rows.columns} | {text: F.when(hit, F.array_join("__kept", "\n")).otherwise(F.col(text))}

@@ -185,6 +185,15 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), "source").count() == 0
 
 
+def test_line_dedup_by_host_of_urls(spark):
+    """URLs of one host are one site whatever their scheme, port, user or path."""
+    urls = ["http://Site.example/a", "https://site.example:8080/b?c=d", "ftp://me@site.EXAMPLE#x", "https://site.example", "http://other.example/a"]
+    rows = [(i, u, f"MENU\npage {i}") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_boilerplate(df, "url").collect()}
+    assert got == {i: (f"page {i}", 1) for i in range(4)} | {4: ("MENU\npage 4", 0)}
+
+
 def test_line_dedup_by_shuffle_join(spark, monkeypatch):
     from ledgerloom.llm import common
 
