@@ -197,7 +197,7 @@ def test_slot_directories():
         at = [i for i in range(len(own) + len(free)) if i not in free]
         assert outcome == "rows" and [(s, page[a:b]) for s, a, b in reversed(slots)] == list(zip(at, own, strict=True))
     broken = bytearray(a_page("E", own))
-    broken[0x71 - 6] += 1  # one slot more than there are
+    broken[0x71 - 6] -= 1  # one slot less than there are, so the least offset is not among them
     assert pages.slots_of(bytes(broken)) == ("no_slot_directory", [])
     assert pages.slots_of(a_page("A", own))[0] == "not_extent" and pages.slots_of(b"E" * 100)[0] == "not_extent"
 
