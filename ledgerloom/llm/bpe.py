@@ -207,15 +207,18 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
-            rows = max(1, batch.num_rows * (1 << 20) // max(1, batch.nbytes))  # about 1 MB of input at a time
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                ids = own.encode(part.column(part.num_columns - 1).to_pylist())
-                out = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if decoded:
-                    out.append(pa.array([own.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+        try:
+            for batch in batches:
+                rows = max(1, batch.num_rows * (1 << 20) // max(1, batch.nbytes))  # about 1 MB of input at a time
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    ids = own.encode(part.column(part.num_columns - 1).to_pylist())
+                    out = [*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if decoded:
+                        out.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+        finally:
+            own.known.clear()  # Spark keeps the worker for later stages; what it learned from these texts would stay with it
 
     return kept.mapInArrow(run, T.StructType(fields))
 

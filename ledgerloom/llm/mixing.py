@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import cut, small
+from ledgerloom.llm.common import batches_of, cut, small
 
 #: Most rounds of raking, and the relative error of a marginal at which they end.
 ROUNDS, TOLERANCE = 40, 1e-9
@@ -47,8 +47,8 @@ _BYTES = np.arange(256)
 _SPACE = np.isin(_BYTES, (9, 10, 11, 12, 13, 32))
 _UPPER, _DIGIT = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 48) & (_BYTES <= 57)
 _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
-#: Bytes of a text looked at together.
-PIECE = 1 << 20
+#: Bytes of a text looked at together, and rows with texts in one batch.
+PIECE, WIDE = 1 << 20, 512
 
 
 def kind_and_tokens(text: str | None) -> tuple[str, int]:
@@ -268,7 +268,8 @@ def mix(
     rows = df.drop("__topic", "__tokens", "__weight", "__rate", "__kept", "__facts").withColumn("__facts", _facts(F.col(text)))
     rows = rows.withColumns({"__topic": F.col("__facts.topic") if topic is None else topic.cast("string"), "__tokens": F.col("__facts.tokens")}).drop("__facts")
     facts = rows.select(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n"))
-    cells = cut(count_cells(facts, ["source", "lang", "topic"], "n"))
+    with batches_of(df.sparkSession, WIDE):
+        cells = cut(count_cells(facts, ["source", "lang", "topic"], "n"))
     rates = cut(keep_rates(cells, targets or tempered(cells, TEMPERATURE, budget), budget))
     key = F.concat_ws("\x1f", *(_named(F.col(c)) for c in ("source", "lang", "topic")))
     table = small(rates.select(key.alias("__key"), F.col("weight").alias("__weight"), F.col("rate").alias("__rate")), 256)
