@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -62,34 +63,60 @@ def legacy_bytes(cents: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(size % 100), 2, "0"), F.when(cents < 0, f"{NEGATIVE:02X}").otherwise("00"), F.lpad(F.hex(F.floor(size / 100).cast("bigint")), 8, "0")))
 
 
+#: Base-100 digits of the largest 64-bit amount.
+DIGITS = 10
+
+
 def base100_cents(token: Column) -> Column:
-    """Signed cents of [n, marker, n base-100 digits, least first]; null if malformed or out of range."""
+    """Signed cents of [n, marker, n base-100 digits, least first]; null if malformed or out of range.
+
+    token should be a column that is already made: it is read several times.
+    """
     n, marker = byte(token, 0), byte(token, 1)
-    exponent = marker.bitwiseAND(0x7F)
-    digits = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: byte(token, n + 2 - i))
-    good = (exponent.between(CENTS_MARKER, MOST_MARKER)) & (F.length(token) >= n + 2) & F.forall(digits, lambda d: d <= 99)
-    wide = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda acc, d: (acc * 100 + d).cast("decimal(38,0)"))
-    value = (wide * F.pow(F.lit(100.0), exponent - CENTS_MARKER).cast("decimal(19,0)")).try_cast("bigint")
+    power = marker.bitwiseAND(0x7F) - CENTS_MARKER
+    digits = F.hex(F.substring(token, F.lit(3), n))
+    good = power.between(0, MOST_MARKER - CENTS_MARKER) & (F.length(token) >= n + 2) & digits.rlike(f"^(?:[0-5][0-9A-F]|6[0-3]){{0,{DIGITS}}}(?:00)*$")
+    digit = lambda i: F.coalesce(F.conv(F.nullif(F.substring(digits, 2 * i + 1, 2), F.lit("")), 16, 10).cast("bigint"), F.lit(0))
+    low = reduce(lambda a, i: a + digit(i) * 100**i, range(1, DIGITS - 1), digit(0))
+    wide = low.cast("decimal(38,0)") + digit(DIGITS - 1).cast("decimal(38,0)") * F.lit(100 ** (DIGITS - 1)).cast("decimal(19,0)")
+    scale = reduce(lambda a, k: a.when(power == k, 100**k), range(1, MOST_MARKER - CENTS_MARKER + 1), F.when(power == 0, F.lit(1).cast("bigint")))
+    value = (wide * scale.cast("decimal(19,0)")).try_cast("bigint")
     zero = F.when(marker == ZERO_MARKER, F.lit(0).cast("bigint"))
     return F.when(n == 0, zero).when(good, F.when(marker >= POSITIVE, value).otherwise(-value))
 
 
 def base100_token(cents: Column) -> Column:
     """The token of an amount, without trailing powers of 100."""
-    size = F.abs(cents)
-    digit = lambda i: (F.floor(size / F.lit(100**i).cast("decimal(20,0)")) % 100).cast("bigint")
+    size = F.abs(cents.cast("bigint"))
+    digit = lambda i: F.call_function("div", size, F.lit(100**i).cast("bigint")) % 100
     used = F.greatest(F.lit(1), F.ceil(F.length(size.cast("string")) / 2)).cast("int")
-    body = F.array_join(F.transform(F.slice(F.array(*(digit(i) for i in range(10))), F.lit(1), used), lambda d: F.lpad(F.hex(d), 2, "0")), "")
+    body = F.substring(F.concat(*(F.lpad(F.hex(digit(i)), 2, "0") for i in range(DIGITS))), F.lit(1), used * 2)
     sign = F.when(cents < 0, f"{CENTS_MARKER:02X}").otherwise(f"{CENTS_MARKER | POSITIVE:02X}")
     return F.when(cents == 0, F.unhex(F.lit(f"00{ZERO_MARKER:02X}"))).otherwise(F.unhex(F.concat(F.lpad(F.hex(used), 2, "0"), sign, body)))
 
 
+def _sevens(value: Column) -> tuple[list[Column], Column]:
+    """The groups of seven bits of a number, least first, and how many of them it needs."""
+    value = value.cast("bigint")
+    return [F.shiftrightunsigned(value, 7 * i).bitwiseAND(0x7F) for i in range(10)], F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
+
+
+def _two_digits(value: Column) -> Column:
+    return F.lpad(F.hex(value), 2, "0")
+
+
 def leb128(value: Column) -> Column:
     """Seven bits a byte, least first, the high bit set while more follow."""
-    groups = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.floor(value / F.pow(F.lit(2.0), i * 7)).cast("bigint") % 128)
-    used = F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
-    items = F.slice(groups, F.lit(1), used)
-    return F.unhex(F.array_join(F.transform(items, lambda g, i: F.lpad(F.hex(g + F.when(i + 1 < used, 128).otherwise(0)), 2, "0")), ""))
+    groups, used = _sevens(value)
+    body = F.concat(*(_two_digits(g + F.when(used > i + 1, 128).otherwise(0)) for i, g in enumerate(groups)))
+    return F.unhex(F.substring(body, F.lit(1), used * 2))
+
+
+def be_base128(value: Column) -> Column:
+    """Seven bits a byte, highest first, the high bit set while more follow."""
+    groups, used = _sevens(value)
+    body = F.concat(*(_two_digits(g + (128 if i else 0)) for i, g in reversed(list(enumerate(groups)))))
+    return F.unhex(F.substring(body, F.lit(21) - used * 2, used * 2))
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.codecs import hex_bytes, leb128
+from ledgerloom.functions.codecs import be_base128, hex_bytes, leb128
 from ledgerloom.operators.gates import bounded_broadcast
 
 #: Prefixes of system tables; start state and multiplier of the schema fingerprint.
@@ -103,11 +103,8 @@ def number_forms(value: Column) -> Column:
     big = F.hex(hex_bytes(value, 4))
     flip = lambda h, n: F.concat(*(F.substring(h, 2 * i - 1, 2) for i in range(n, 0, -1)))
     cut = lambda n: F.substring(big, 9 - 2 * n, 2 * n)
-    groups = F.hex(leb128(value))
-    back = F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), (F.length(groups) / 2 - 1).cast("int")), lambda i: F.lpad(F.hex(
-        F.conv(F.substring(groups, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseAND(0x7F) + F.when(i > 0, 0x80).otherwise(0)), 2, "0"))), "")
     forms = {"u16le": F.when(value < 65536, flip(cut(2), 2)), "u16be": F.when(value < 65536, cut(2)), "low16le": flip(cut(2), 2), "low16be": cut(2), "u24le": flip(cut(3), 3),
-             "u24be": cut(3), "u32le": flip(big, 4), "u32be": big, "leb128": groups, "be_base128": back}
+             "u24be": cut(3), "u32le": flip(big, 4), "u32be": big, "leb128": F.hex(leb128(value)), "be_base128": F.hex(be_base128(value))}
     return F.filter(F.array(*(F.struct(F.lit(k).alias("label"), v.alias("form")) for k, v in forms.items())), lambda x: x["form"].isNotNull())
 
 

@@ -133,7 +133,8 @@ def balance_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = from_double(F.col("c_acctbal"))
     rows = fx.table(spark, sf_dir, "customer").select("c_custkey", cents.alias("cents"))
     legacy, token = codecs.legacy_bytes(F.col("cents")), codecs.base100_token(F.col("cents"))
-    return rows.select("c_custkey", "cents", codecs.legacy_cents(legacy).alias("legacy_cents"), codecs.base100_cents(token).alias("base100_cents"), F.hex(legacy).alias("legacy"))
+    made = rows.select("c_custkey", "cents", legacy.alias("legacy"), token.alias("token"))  # made once; decoding reads them many times
+    return made.select("c_custkey", "cents", codecs.legacy_cents(F.col("legacy")).alias("legacy_cents"), codecs.base100_cents(F.col("token")).alias("base100_cents"), F.hex("legacy").alias("legacy"))
 
 
 BALANCES = """WITH x AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer)
