@@ -193,19 +193,25 @@ def auxiliary_chains(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     All else is `broken`.
     """
     key = ["master", "date", "view"]
-    sizes = nodes.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("target").alias("d"), F.countDistinct("next").alias("nexts"))
-    alone = nodes.join(sizes.where("n = 1").select(*key), key, "left_semi").join(rows.select(*key, "account", F.lit(1).alias("one")), [*key, "account"], "left")
-    alone = alone.groupBy(*key).agg(F.count("one").alias("met"))
-    inside = nodes.select(*key, F.col("target").alias("next"), F.lit(True).alias("to_node")).distinct()
-    ends = rows.select(*key, F.col("target").alias("next"), F.lit(True).alias("to_row")).distinct()
-    led = nodes.join(inside, [*key, "next"], "left").join(ends, [*key, "next"], "left")
-    chain = led.select(F.struct(*key).alias("master"), F.col("target").alias("node"), F.when(F.col("to_row").isNull(), F.col("next")).alias("next"), F.col("to_row").isNotNull().alias("is_terminal"))
-    reached = resolve_links(chain).groupBy("master").agg(F.count("terminal").alias("reached"), F.countDistinct("terminal").alias("lasts")).select("master.*", "reached", "lasts")
-    nets = rows.groupBy("master").agg(_net().alias("net"))
-    each = sizes.join(alone, key, "left").join(reached, key, "left").join(nets, "master", "left")
-    sized = F.col("n").isin(*CHAIN)
-    outcome = F.when((F.col("n") == 1) & (F.col("met") == 1), "metadata").when(sized & F.expr("d = n and nexts = n and reached = n and lasts = 1 and coalesce(net, 0) = 0"), "chain").otherwise("broken")
-    return each.select(*key, outcome.alias("outcome"))
+    sizes = nodes.groupBy(*key).agg(F.count("*").alias("n"))
+    # only contexts of so few nodes are gathered; links inside one are then followed in its row
+    few = nodes.join(sizes.where(F.col("n").isin(1, *CHAIN)), key)
+    each = few.groupBy(*key, "n").agg(F.collect_list(F.struct("target", "next")).alias("own"), F.min("account").alias("alone"))
+    each = each.withColumns({"targets": F.col("own.target"), "nexts": F.col("own.next")}).drop("own")
+    # of the rows of a context: the nodes that lead to one, as bits, and how many have the single node's account
+    met = rows.select(*key, "target", "account").join(each.select(*key, "nexts", "alone"), key).withColumn("at", F.array_position("nexts", F.col("target")))
+    met = met.groupBy(*key).agg(F.bit_or(F.expr("CASE WHEN at > 0 THEN shiftleft(1, cast(at as int) - 1) ELSE 0 END")).alias("ends"), F.count_if(F.col("account") == F.col("alone")).alias("met"))
+    led = each.join(met, key, "left").withColumns({"ends": F.coalesce("ends", F.lit(0)), "met": F.coalesce("met", F.lit(0))})
+    led = led.withColumn("to", F.expr("transform(nexts, (x, i) -> CASE WHEN getbit(ends, i) = 1 THEN i + 1 ELSE cast(coalesce(array_position(targets, x), 0) as int) END)"))
+    for _ in range((max(CHAIN) - 1).bit_length()):  # pointers double; 0 leads nowhere
+        led = led.withColumn("to", F.expr("transform(to, p -> coalesce(get(to, p - 1), 0))"))
+    reached = F.expr("array_max(to) > 0 and array_min(to) = array_max(to) and ends = shiftleft(1, array_max(to) - 1)")
+    whole = lambda c: ~F.exists(c, lambda x: x.isNull()) & (F.size(F.array_distinct(c)) == F.col("n"))
+    led = led.select(*key, ((F.col("n") == 1) & (F.col("met") == 1)).alias("single"), (F.col("n").isin(*CHAIN) & whole("targets") & whole("nexts") & reached).alias("path"))
+    off = rows.groupBy("master").agg(_net().alias("net")).where("net <> 0").select("master", F.lit(True).alias("off"))
+    led = led.where("single or path").join(off, "master", "left")
+    found = led.select(*key, F.expr("CASE WHEN single THEN 'metadata' WHEN off IS NULL THEN 'chain' END").alias("outcome"))
+    return sizes.join(found, key, "left").select(*key, F.coalesce("outcome", F.lit("broken")).alias("outcome"))
 
 
 def journal_dispositions(rows: DataFrame, links: DataFrame, chains: DataFrame) -> DataFrame:
