@@ -6,6 +6,7 @@ A null in a key column takes part in nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,20 @@ def _union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Rows aimed at in a task of a join or grouping whose keys hardly repeat.
+DEALT = 1 << 20
+
+
+def _dealer(*frames: DataFrame) -> Callable[..., DataFrame]:
+    """A function that deals a frame by its key columns into as many partitions as the counted rows of all frames ask for.
+
+    Keys that rise with the rows compress so well that partitions of equal bytes hold many times that in memory, and a sum of
+    each key before the shuffle saves nothing where keys hardly repeat.
+    """
+    parts = max(1, -(-sum(f.count() for f in frames) // DEALT))
+    return lambda df, *key: df.repartition(parts, *key)
+
+
 def _net() -> Column:
     return F.coalesce(wide_sum(F.col("cents")), F.lit(0))
 
@@ -35,12 +50,15 @@ def alias_violations(aliases: DataFrame, rows: DataFrame) -> DataFrame:
     """
     here, there = ["page", "record"], ["to_page", "to_record"]
     target = rows.select(F.col("page").alias("to_page"), F.col("record").alias("to_record"), "is_posting")
-    met = aliases.join(target, there, "left")
+    deal = _dealer(aliases, rows)
+    led = deal(aliases, *there)
+    met = led.join(deal(target, *there), there, "left")
+    left = deal(aliases, *here)
     return _union(
         _found("self_alias", aliases.where("page = to_page and record = to_record"), *here),
-        _found("source_is_retained", aliases.join(rows.select(*here).distinct(), here, "left_semi"), *here),
-        _found("duplicate_source", aliases.groupBy(*here).count().where("count > 1"), *here),
-        _found("duplicate_destination", aliases.groupBy(*there).count().where("count > 1"), *there),
+        _found("source_is_retained", left.join(deal(rows.select(*here), *here), here, "left_semi"), *here),
+        _found("duplicate_source", left.groupBy(*here).count().where("count > 1"), *here),
+        _found("duplicate_destination", led.groupBy(*there).count().where("count > 1"), *there),
         _found("no_posting_there", met.where("coalesce(is_posting, false) = false"), *here),
     )
 
