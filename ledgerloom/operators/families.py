@@ -135,20 +135,23 @@ def check_violations(rows: DataFrame, companions: DataFrame, sources: DataFrame,
     are known (accounts: account). All targets are distinct, also across the three, and masters net to nothing.
     """
     every = _union(*(f.select("target") for f in (rows, companions, sources)))
-    masters = rows.groupBy("master").agg(F.count_if(F.col("cents") == 0).alias("zeros"), F.count_if(F.col("cents") != 0).alias("amounts"), _net().alias("net"))
-    void = companions.join(masters, "master", "left")
-    posting = rows.where("cents <> 0").select(F.col("target").alias("next"), F.col("master").alias("m"), F.col("date").alias("d"), F.col("account").alias("a"))
-    led = sources.join(posting, "next", "left").withColumn("good", F.expr("coalesce(m = master and d = date and a <> sibling, false)"))
+    deal = _dealer(rows, sources)
+    masters = deal(rows, "master").groupBy("master").agg(F.count_if(F.col("cents") == 0).alias("zeros"), F.count_if(F.col("cents") != 0).alias("amounts"), _net().alias("net"))
+    void = deal(companions, "master").join(masters, "master", "left")
+    posting = deal(rows, "target").where("cents <> 0").select(F.col("target").alias("next"), F.col("master").alias("m"), F.col("date").alias("d"), F.col("account").alias("a"))
+    onward = deal(sources, "next")
+    led = onward.join(posting, "next", "left").withColumn("good", F.expr("coalesce(m = master and d = date and a <> sibling, false)"))
     known = accounts.select(F.col("account").alias("sibling")).distinct()
-    sides = led.where("good").join(rows.select("master", "date", F.col("account").alias("sibling")).distinct(), ["master", "date", "sibling"], "left_anti")
-    dates = sources.select("master", "target", F.col("date").alias("d")).join(rows.select("master", "date").distinct(), "master").where("date <> d").select("target").distinct()
+    of = ["master", "date", "sibling"]
+    sides = deal(led.where("good"), *of).join(deal(rows.select("master", "date", F.col("account").alias("sibling")), *of), of, "left_anti")
+    dates = deal(sources.select("master", "target", F.col("date").alias("d")), "master").join(deal(rows.select("master", "date"), "master").distinct(), "master").where("date <> d").select("target").distinct()
     return _union(
-        _found("duplicate_target", every.groupBy("target").count().where("count > 1"), "target"),
+        _found("duplicate_target", deal(every, "target").groupBy("target").count().where("count > 1"), "target"),
         _found("unbalanced_check", masters.where("net <> 0"), "master"),
         _found("companion_repeats", companions.groupBy("master").count().where("count > 1"), "master"),
         _found("companion_without_void", void.where("not coalesce(zeros = 2 and amounts = 0, false)"), "target"),
         _found("link_leads_nowhere", led.where("not good"), "target"),
-        _found("link_repeats", sources.groupBy("next").count().where("count > 1"), "next"),
+        _found("link_repeats", onward.groupBy("next").count().where("count > 1"), "next"),
         _found("sibling_absent", sides, "target"), _found("sibling_of_another_day", dates, "target"),
         _found("unknown_sibling", sources.join(known, "sibling", "left_anti"), "target"),
     )
