@@ -1,4 +1,4 @@
-"""Corpus preparation over `documents`, in stages; each is written as Parquet and read again before the next.
+"""Corpus preparation over `documents`, in stages; each writes its result as Parquet and returns what is read again.
 
 Stages take (spark, docs, sf_dir) and return the columns of docs, the last one the encoded corpus:
 
@@ -15,17 +15,38 @@ tests/llm hold each stage against a brute-force version.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, language, line_dedup, mixing, simhash
-from ledgerloom.llm.common import checkpoint_folder
+from ledgerloom.llm.common import batches_of, checkpoint_folder
 
 ORACLE_SQL = None
+#: Rows in one Arrow batch: the default of 10,000 rows with texts takes tens of MB, in each task twice in the JVM while a buffer grows, and again in its Python worker.
+WIDE = 512
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def written(stage: Stage) -> Stage:
+    """The stage with its result written to the shared folder, whatever reads it, in Arrow batches of few rows."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        path = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}/{stage.__name__}"
+        found = stage(spark, docs, sf_dir)
+        with batches_of(spark, WIDE):
+            found.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return run
+
+
+@written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows, with lang as predicted. Trained on labelled documents that are not held
     out; the least familiarity of a text is fixed on the same labelled rows, so documents that mix languages stay."""
@@ -34,6 +55,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@written
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
     found = line_dedup.drop_boilerplate(docs, "source")
@@ -41,16 +63,19 @@ def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.withColumn("n_chars", n).select(*docs.columns)
 
 
+@written
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
     return simhash.drop_near_duplicates(docs)
 
 
+@written
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the kept tokens meet the targets; the budget is an upper limit."""
     return mixing.mix(docs).where("__kept").select(*docs.columns)
 
 
+@written
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids (packed little-endian uint32) and decoded_sha256."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,8 +94,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
