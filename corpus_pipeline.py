@@ -1,4 +1,4 @@
-"""Corpus preparation over `documents`, in stages; each writes its result as Parquet and returns what is read again.
+"""Corpus preparation over `documents`, in stages; each is written as Parquet and read again before the next.
 
 Stages take (spark, docs, sf_dir) and return the columns of docs, the last one the encoded corpus:
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, language, line_dedup, mixing, simhash
-from ledgerloom.llm.common import batches_of, checkpoint_folder
+from ledgerloom.llm.common import batches_of, checkpoint_folder, cut
 
 ORACLE_SQL = None
 #: Rows in one Arrow batch: the default of 10,000 rows with texts takes tens of MB, in each task twice in the JVM while a buffer grows, and again in its Python worker.
@@ -33,15 +33,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def written(stage: Stage) -> Stage:
-    """The stage with its result written to the shared folder, whatever reads it, in Arrow batches of few rows."""
+    """The stage with its result materialised in Arrow batches of few rows, whatever reads it; for stages whose last step is Python.
+    A checkpoint, as Spark can clean it up when the result is not used any more."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        path = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}/{stage.__name__}"
         found = stage(spark, docs, sf_dir)
         with batches_of(spark, WIDE):
-            found.write.parquet(path)
-        return spark.read.parquet(path)
+            return cut(found)
 
     return run
 
@@ -55,7 +54,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
-@written
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text."""
     found = line_dedup.drop_boilerplate(docs, "source")
@@ -63,7 +61,6 @@ def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.withColumn("n_chars", n).select(*docs.columns)
 
 
-@written
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
     return simhash.drop_near_duplicates(docs)
@@ -94,6 +91,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
