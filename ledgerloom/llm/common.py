@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """cut for rows of a few numbers, in a few files for each core instead of one for each shuffle partition: Hadoop starts a
+    process for every file that it makes on a local file system, and for its duration that process counts as large as its JVM."""
+    spark = df.sparkSession
+    few = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    return cut(df.coalesce(few))
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is materialised inside: rows that carry texts are wide."""

@@ -17,13 +17,15 @@
 The pipeline's stage asks for more than three bits can hold: pairs whose sets of five-word shingles have a
 Jaccard similarity of 0.8 differ by about ten bits. `drop_near_duplicates` therefore takes its candidates first
 from this index, over fingerprints of five-word shingles, and then, for the pairs beyond three bits, from MinHash
-bands. Every candidate is confirmed by the exact sets; the components are joined as above.
+bands. Pairs that share a band are first held against bit maps of their sets, which differ in at most as many bits as the
+sets do in elements: what they rule out is ruled out for certain. What is left is confirmed by the exact sets; the
+components are joined as above.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import batches_of, cut, small
+from ledgerloom.llm.common import batches_of, cut, cut_narrow, small
 
 RADIUS = 3
 #: Most fingerprints for which they are cut into so many blocks; beyond the last, into one more. All give the same links.
@@ -55,6 +57,10 @@ SEED = 42
 STAGE_WIDTH, STAGE_JACCARD = 5, 0.8
 #: MinHash bands and values in each: a pair at 0.8 shares no band with a probability of (1 - 0.8**4)**20 = 2.7e-5.
 BANDS, BAND_ROWS = 20, 4
+#: Members of a MinHash bucket from which it is dealt into chunks, and members aimed at in a task's group of small buckets.
+MEMBERS, GROUP = 4096, 8192
+#: Pairs for each member up to which all pairs of a bucket are tested, in the first turns; from then on, whatever their number.
+PAIRS = (1, 8, 8, 8)
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -212,7 +218,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
     dealt = dealt.select("fp", "block", (F.col("block").cast("long") * n + F.pmod(value, F.lit(n))).alias("bucket"))
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("rows"))
     large = sizes.where(F.col("rows") > CHUNK).select("bucket", F.ceil(F.col("rows") / CHUNK).cast("int").alias("chunks"))
-    dealt = dealt.join(small(cut(large), 16), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.join(small(cut_narrow(large), 16), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int"))
     other = F.explode(F.expr("sequence(0, chunks - 1)")).alias("other")
     dealt = dealt.select("fp", "block", "bucket", "chunk", other).select(
@@ -227,7 +233,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
         a, b = local_links(left, right, turns[int(pdf["block"].iat[0])], radius)
         return pd.DataFrame({"a": _signed(a), "b": _signed(b)})
 
-    return cut(dealt.groupBy("bucket", "i", "j").applyInPandas(search, "a long, b long").distinct())
+    return cut_narrow(dealt.groupBy("bucket", "i", "j").applyInPandas(search, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
     node with many neighbours are left to adaptive skew handling; minima combine map-side.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    both, before = cut(both), None
+    both, before = cut_narrow(both), None
     while True:
         around = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -247,7 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(down, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        both = cut(small.union(down.select("a", F.col("m").alias("b"))).distinct())
+        both = cut_narrow(small.union(down.select("a", F.col("m").alias("b"))).distinct())
         now = both.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return both.select(F.col("a").alias("node"), F.col("b").alias("root")).union(both.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -300,28 +306,102 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
+def bit_map(hashes: np.ndarray) -> bytes:
+    """A map of a set's hashes in two to four bits for each, every hash turning one bit over. Common hashes turn the same
+    bits, so the maps of two sets differ in at most as many bits as the sets in elements; a map folds to half its size."""
+    bits = max(64, 2 << max(0, len(hashes) - 1).bit_length())
+    turned = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").tobytes()
+
+
+class BitMaps:
+    """The maps of some sets, by length; a set without a map is near to all."""
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes | None], least: float):
+        self.sizes, self.least = sizes.astype(np.float64), least
+        self.words = np.array([len(m) // 8 if m else 0 for m in maps])
+        self.place, self.tables = np.zeros(len(maps), np.int64), {}
+        for n in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == n)
+            self.place[own] = np.arange(len(own))
+            self.tables[n] = np.frombuffer(b"".join(maps[i] for i in own), np.uint64).reshape(-1, n)
+
+    def apart(self, one: int, others: np.ndarray) -> np.ndarray:
+        """For each of the others the least share that the difference may have of both sets' elements; over 1: ruled out.
+        A Jaccard similarity of `least` allows sizes in that ratio and a difference of (1 - least) / (1 + least)."""
+        a, b = self.sizes[one], self.sizes[others]
+        out = np.where(np.minimum(a, b) >= self.least * np.maximum(a, b) * (1 - 1e-9), 0.0, np.inf)
+        for n, table in self.tables.items():
+            some = np.flatnonzero((self.words[others] == n) & (out == 0))
+            if not len(some) or not self.words[one]:
+                continue
+            x, y = self.tables[int(self.words[one])][self.place[one]][None], table[self.place[others[some]]]
+            while x.shape[1] != y.shape[1]:
+                if x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                else:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            out[some] = differ / np.maximum((a + b[some]) * (1 - self.least) / (1 + self.least) * (1 + 1e-9), 1e-9)
+        out[(self.words[others] == 0) | (self.words[one] == 0)] = 0
+        return out
+
+
+def forest(maps: BitMaps, root: np.ndarray, side: np.ndarray | None, order: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs that the maps allow, of different roots (and sides): as many as join all roots that such pairs join."""
+    open_ = np.ones(len(root), bool)
+    for start in order.tolist():
+        queue = []
+        if open_[start]:
+            queue = np.flatnonzero(root == root[start]).tolist()
+            open_[queue] = False
+        while queue:
+            x = queue.pop()
+            others = np.flatnonzero(open_ if side is None else open_ & (side != side[x]))
+            if not len(others):
+                continue
+            apart = maps.apart(x, others)
+            hit = np.argsort(apart, kind="stable")[: int((apart <= 1).sum())]
+            for r, first in zip(*np.unique(root[others[hit]], return_index=True), strict=True):
+                yield x, int(others[hit[first]])
+                new = np.flatnonzero(open_ & (root == r))
+                open_[new] = False
+                queue += new.tolist()
+
+
+def across(maps: BitMaps, root: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """All pairs that the maps allow, of different roots (and sides)."""
+    for x in range(len(root) - 1):
+        others = np.arange(x + 1, len(root))
+        others = others[(root[others] != root[x]) & (True if side is None else side[others] != side[x])]
+        yield from ((x, int(y)) for y in others[maps.apart(x, others) <= 1])
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _banded(df: DataFrame, text: str) -> DataFrame:
     """The other columns of df with, of the text's five-word shingles, node (long, the hash of their set), fp (long, their
-    SimHash) and bands (array<long>)."""
+    SimHash), bands (array<long>), size (long, of the set) and map (binary, its bit map)."""
     rest = [c for c in df.columns if c != text]
     kept = df.select(*rest, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     made = [T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    fields = [*kept.schema.fields[:-1], *made]
+    fields = [*kept.schema.fields[:-1], *made, T.StructField("size", T.LongType()), T.StructField("map", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, bands = [], [], []
+            nodes, fps, bands, sizes, maps = [], [], [], [], []
             for x in batch.column(batch.num_columns - 1):
                 parts = list(shingle_hashes(_words(x.as_py()), STAGE_WIDTH))
                 hashes = np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
                 nodes.append(_long(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
                 fps.append(majority(parts))
                 bands.append([_long(k) for k in band_keys(hashes)])
+                sizes.append(len(hashes))
+                maps.append(bit_map(hashes))
             columns = [*batch.columns[:-1], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            columns += [pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return kept.mapInArrow(run, T.StructType(fields))
@@ -332,7 +412,7 @@ def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], lea
 
     texts_of: (node, text) of the nodes of a frame; only texts that stand in a pair are moved.
     """
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    wanted = cut_narrow(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     texts = texts_of(wanted)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
@@ -348,51 +428,79 @@ def _confirmed(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], lea
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with batches_of(pairs.sparkSession, WIDE):
-        return cut(both.mapInArrow(run, "a long, b long"))
+        return cut_narrow(both.mapInArrow(run, "a long, b long"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _allowed(members: DataFrame, least: float, most: int | None, turn: int = 0) -> DataFrame:
+    """(key, a, b, more): pairs of the members (key, node, size, map, chunks, root) of a bucket, of different roots, that their
+    bit maps allow: all of them, or if these are over `most` for each member a spanning forest, another one in each turn;
+    more: others may be left. Materialised.
+
+    Small buckets are gathered into groups; one of several chunks is dealt into pairs of chunks.
+    """
+    n = members.count() // GROUP + 1
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    dealt = members.withColumn("chunk", chunk).withColumn("deal", F.when(F.col("chunks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(n))))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other"), "one": F.col("chunks") == 1})
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, two = [], pdf["i"].iat[0] != pdf["j"].iat[0]
+        for key, own in pdf.groupby("key", sort=False):
+            root = own["root"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            node, maps = own["node"].to_numpy(), BitMaps(own["size"].fillna(0).to_numpy(), own["map"].tolist(), least)
+            side = own["chunk"].to_numpy() if two else None
+            bound = None if most is None else most * len(node)
+            pairs = list(islice(across(maps, root, side), None if bound is None else bound + 1))
+            if more := bound is not None and len(pairs) > bound:
+                pairs = forest(maps, root, side, np.argsort(node * np.int64(2 * turn + 1), kind="stable"))
+            found += [(key, node[x], node[y], more) for x, y in pairs]
+        return pd.DataFrame(found, columns=["key", "a", "b", "more"]).astype({"key": "int64", "a": "int64", "b": "int64", "more": "bool"})
+
+    columns = ["deal", "one", "i", "j", "key", "node", "root", "size", "map", "chunk"]
+    return cut_narrow(dealt.select(*columns).groupBy("deal", "one", "i", "j").applyInPandas(search, "key long, a long, b long, more boolean"))
+
+
 def jaccard_components(marked: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float = STAGE_JACCARD) -> DataFrame:
     """(node, root) of the nodes linked over pairs of at least so large a Jaccard similarity; nodes without a link are left out.
 
-    marked: (node, fp, bands), one row each. Candidates are tested in turns, so that few texts are compared: first those that
-    the index over fp links; then each node with one other node of its buckets, one bucket for a band; then with the least
-    node of each bucket; at last all pairs in buckets that still hold several components, across these. A pair is tested once.
+    marked: (node, fp, bands), one row each, and where there are any (size, map), without which no pair is ruled out before
+    its texts are compared. Candidates are tested in turns, so that few texts are compared: first those that the index over fp
+    links; then those that the bit maps allow in buckets, one for a band, across the components that a bucket holds: all, or where
+    they are many as few as would join these components, and again in the next turn. A pair is tested once, and every pair that
+    is allowed is tested or has its nodes in one component in the end.
     """
     alike = marked.groupBy("fp").agg(F.min("node").alias("b"))
     same = marked.join(alike, "fp").select(F.col("node").alias("a"), "b")
     near = links(marked.select("fp").distinct()).select(F.col("a").alias("fp"), F.col("b").alias("fp2"))
     near = near.join(alike.withColumnRenamed("b", "a"), "fp").join(alike.select(F.col("fp").alias("fp2"), "b"), "fp2").select("a", "b")
-    tested = cut(_ordered(same.union(near)))
-    found = _confirmed(tested, texts_of, least)
-
-    members = marked.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut(members.join(shared, "key", "left_semi"))  # the others can have no partner
-    for turn in range(3):
-        roots = components(found)
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("key").agg(F.min(F.struct("root", "node")).alias("hub"), F.max("root").alias("high")).where("hub.root < high")
-        members = cut(rooted.join(mixed.select("key", F.col("hub.root").alias("hub_root"), F.col("hub.node").alias("hub")), "key"))
-        if members.isEmpty():
-            return roots
-        if turn < 2:
-            pairs = members.where("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else pairs
-        else:
-            sides = members.select("key", "root").distinct()
-            across = sides.withColumnRenamed("root", "x").join(sides.withColumnRenamed("root", "y"), "key").where("x < y")
-            one = members.select("key", F.col("root").alias("x"), F.col("node").alias("a"))
-            two = members.select("key", F.col("root").alias("y"), F.col("node").alias("b"))
-            pairs = across.join(one, ["key", "x"]).join(two, ["key", "y"]).select("a", "b")
-        new = cut(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
+    tested = cut_narrow(_ordered(same.union(near)))
+    roots = components(_confirmed(tested, texts_of, least))
+
+    described = [F.col(c) if c in marked.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("map", "binary"))]
+    members = marked.select("node", *described, F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_narrow(shared.select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("chunks")))
+    members = cut(members.join(small(shared, 16), "key"))  # the others can have no partner
+    for turn, most in enumerate([*PAIRS, None]):
+        rooted = members.join(small(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        allowed = _allowed(rooted, least, most, turn)
+        if allowed.isEmpty():
+            break
+        new = cut_narrow(_ordered(allowed).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(new)
-        found = found.union(_confirmed(new, texts_of, least))
-        members = members.select("key", "node")
-    return components(found)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_confirmed(new, texts_of, least)))
+        left = allowed.where("more").select("key").distinct()
+        if left.isEmpty():
+            break
+        members = members.join(small(left, 8), "key", "left_semi")
+    return roots
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = STAGE_JACCARD) -> DataFrame:
@@ -410,21 +518,21 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     with batches_of(df.sparkSession, WIDE):
         marked = cut(_banded(rows.select(F.col(id_col).alias("__id"), *marks, F.col(text).alias("__t")), "__t"))
     first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", *marks)).alias("own")
-    groups = cut(marked.groupBy("node").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    groups = cut(marked.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("fp", "bands", "size", "map"))))
 
-    counted = cut(marked.groupBy(*marks).agg(F.count("*").alias("__rows")))
+    counted = cut_narrow(marked.groupBy(*marks).agg(F.count("*").alias("__rows")))
     repeats = not counted.where("__rows > 1").isEmpty()
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        owners = cut(groups.join(nodes, "node", "left_semi").select("node", *(F.col(f"own.{m}").alias(m) for m in marks)))
+        owners = cut_narrow(groups.join(nodes, "node", "left_semi").select("node", *(F.col(f"own.{m}").alias(m) for m in marks)))
         found = rows.select(*marks, F.col(text).alias("text")).join(small(owners, 32), [*marks]).select("node", "text")
         return found.dropDuplicates(["node"]) if repeats else found
 
-    roots = jaccard_components(groups.select("node", "fp", "bands"), texts_of, least)
+    roots = jaccard_components(groups.drop("own"), texts_of, least)
     named = groups.select("node", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("own").alias("own")).select(*(F.col(f"own.{m}").alias(m) for m in marks))
     each = counted.join(best.withColumn("__best", F.lit(True)), [*marks], "left")
-    each = cut(each.where("__best is null or __rows > 1"))  # all other rows stay as they are
+    each = cut_narrow(each.where("__best is null or __rows > 1"))  # all other rows stay as they are
     stay = rows.join(small(each.select(*marks), 32), [*marks], "left_anti")
     if not (more := each.where("__best")).isEmpty():
         stay = stay.unionByName(rows.join(small(more.select(*marks), 32), [*marks], "left_semi").dropDuplicates([*marks]))

@@ -296,3 +296,53 @@ def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
     kept = Counter((r.doc_id, r.text) for r in got)
     b_row = next(r for r in got if r.text and r.text.startswith(b))
     assert kept == Counter([(None, a), (None, b_row.text), (None, None), (1, c), (1, d), (3, e)])
+
+
+def test_bit_maps_rule_out_no_near_copy():
+    """Pairs about 0.8, of sets whose maps have the same length or not, and pairs far below."""
+    rng, kept, gone = np.random.default_rng(6), 0, 0
+    for n in (0, 1, 5, 30, 120, 128, 129, 700, 5000):
+        for share in (0.0, 0.3, 0.5, 0.75, 0.79, 0.8, 0.82, 0.9, 1.0):
+            for longer in (0.0, 0.1, 0.2, 0.5):
+                both, more = round(n * share), round(n * longer * (1 - share) * 2)
+                a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+                b = np.unique(np.concatenate((a[:both], rng.integers(0, 1 << 63, more, np.uint64))))
+                maps = simhash.BitMaps(np.array([len(a), len(b)]), [simhash.bit_map(a), simhash.bit_map(b)], 0.8)
+                likeness, allowed = simhash.jaccard(a, b), maps.apart(0, np.array([1]))[0] <= 1
+                assert allowed == (maps.apart(1, np.array([0]))[0] <= 1)
+                assert allowed or likeness < 0.8
+                kept, gone = kept + (likeness >= 0.8), gone + (not allowed)
+                assert not allowed or n < 120 or likeness > 0.6
+    assert kept > 50 and gone > 100
+
+
+@pytest.mark.parametrize("pairs, members, group", [((0, 0), 4096, 8192), ((0, 1), 3, 8), ((), 3, 8)])
+def test_stage_deals_large_buckets(spark, monkeypatch, pairs, members, group):
+    """Forests before all pairs, and buckets dealt into pairs of chunks: the same survivors."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "GROUP", group)
+    docs = edited_families(random.Random(15), families=12, copies=9)
+    assert survivors(spark, docs) == sorted(set(groups_of(docs, jaccard_pairs(docs))))
+
+
+def test_stage_moves_no_texts_of_pairs_that_only_share_a_band(spark, monkeypatch):
+    rng = random.Random(7)
+    common = [f"w{i}" for i in range(160)]
+    docs = [(i, " ".join(common + [f"v{rng.randrange(10**6)}" for _ in range(100)])) for i in range(60)]
+    docs += [(60 + i, docs[i][1] + " tail") for i in range(5)]
+    confirmed, tested = simhash._confirmed, []
+
+    def counted(pairs, *rest):
+        tested.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counted)
+    assert survivors(spark, docs) == list(range(60))
+    assert sum(tested) < 3 * len(docs)
+
+
+def test_checkpoints_of_small_rows_have_few_files(spark):
+    few = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    found = simhash.cut_narrow(spark.range(1000, numPartitions=211))
+    assert found.rdd.getNumPartitions() <= few and found.count() == 1000
